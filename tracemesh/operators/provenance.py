@@ -66,7 +66,7 @@ def validate_records(records: DataFrame) -> DataFrame:
         return path, "enum", text(path), ~text(path).isin(*allowed)
 
     def form(path: str, rule: str, test):
-        return path, rule, text(path), ~test(text(path))
+        return path, rule, text(path), text(path).isNotNull() & ~test(text(path))
 
     def whole(path: str):
         number = text(path)

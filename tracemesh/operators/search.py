@@ -66,8 +66,7 @@ def search(routed: DataFrame, stats: DataFrame, groups: Groups, term: str) -> Da
         add(own, 0, "primary", caption)
 
     def first_entry(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-        first = F.min(F.struct(*order, "timestamp", "value")).alias("_e")
-        return df.groupBy(key).agg(first)
+        return df.groupBy(key).agg(F.min_by(F.struct("timestamp", "value"), F.struct(*order)).alias("_e"))
 
     def entry_text(caption_: Column, node_id: Column, kind: Column, is_group: bool) -> Column:
         if wanted.text is None:

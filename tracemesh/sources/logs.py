@@ -49,7 +49,7 @@ def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: i
 
 
 def count_events(spark: SparkSession, path: str) -> DataFrame:
-    """``(location, size, events)`` per file; an empty file has no events."""
+    """``(location, size, events)`` per file; Spark does not list empty files."""
     sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     sizes = sizes.select(F.col("path").alias("location"), F.col("length").alias("size"))
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)

@@ -63,5 +63,5 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Provenance records, one JSON file each: ``(location, json)``."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("location"), F.col("value").alias("json"))
