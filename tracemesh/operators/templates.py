@@ -176,46 +176,38 @@ def mine_rules(vectors: DataFrame) -> Rules:
     """Repeat: the lowest pair that differs in exactly two places makes a rule, its matches leave.
 
     The one-by-one rule goes through the vectors in order, so a vector may make its rule
-    as soon as no lower vector that still has a partner shares a bucket with it or with
-    its partner.  Each round lets all such vectors go ahead together.
+    as soon as no lower vector that is still open shares a bucket with it or with its
+    partner; each round lets all such vectors go ahead together.  A vector that is the
+    lowest of all its buckets and has no partner is closed, since it cannot get one later.
     """
     distinct = materialise(_distinct(vectors), "distinct")
     buckets = materialise(_buckets(distinct), "buckets")
+    still_open = materialise(buckets.join(_partners(buckets).select("i"), "i", "left_semi"), "open")
     made: list[DataFrame] = []
-    gone: list[DataFrame] = []
-    while True:
-        pairs = materialise(_partners(buckets), "partners")
-        if pairs.isEmpty():
-            break
-        # A vector without a partner cannot get one later, but it can still match a rule.
-        busy = buckets.join(pairs.select("i"), "i", "left_semi")
-        lowest = busy.groupBy("key").agg(F.min("i").alias("low"))
-        reach = busy.select("i", "key").join(lowest, "key").groupBy("i").agg(F.min("low").alias("low"))
-        reach = materialise(reach, "reach")
-        ready = (
-            pairs.join(reach.filter("i = low").select("i"), "i")
-            .join(reach.select(F.col("i").alias("j"), F.col("low").alias("jlow")), "j")
-            .filter("jlow = i")
+    while not still_open.isEmpty():
+        lowest = still_open.groupBy("key").agg(F.min(F.struct("i", "x", "y")).alias("a"))
+        rows = materialise(still_open.join(lowest, "key"), "bucket-lowest")
+        both_differ = (F.col("x") != F.col("a.x")) & (F.col("y") != F.col("a.y"))
+        partner = rows.groupBy("key").agg(
+            F.first("a.i").alias("i"), F.min(F.when(both_differ, F.col("i"))).alias("j")
         )
-        ready = materialise(ready.select("i", "j", "key"), "ready")
-        hit = buckets.join(ready.select("key", F.col("i").alias("by")), "key").groupBy("i").agg(F.min("by").alias("by"))
-        hit = materialise(hit, "hit")
+        reach = rows.groupBy("i").agg(F.min("a.i").alias("low"))
+        first = partner.groupBy("i").agg(F.min(F.when(F.col("j").isNotNull(), F.struct("j", "key"))).alias("m"))
+        turn = reach.filter("i = low").select("i").join(first, "i")
+        turn = turn.select("i", "m.j", "m.key").join(reach.select(F.col("i").alias("j"), F.col("low").alias("_low")), "j", "left")
+        turn = materialise(turn.filter("j is null or _low = i").select("i", "j", "key"), "turn")
+        ready = turn.filter("j is not null")
         made.append(ready)
-        gone.append(hit)
-        buckets = materialise(buckets.join(hit.select("i"), "i", "left_anti"), "buckets")
-
-    def union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-        total = empty
-        for part in parts:
-            total = total.unionByName(part)
-        return total
-
-    none = buckets.limit(0)
-    rules = union(made, none.select("i", F.col("i").alias("j"), "key"))
-    rules = number_rows(rules.select("i", "j", "key.p", "key.q", "key.rule"), ["i"], "rule_id")
-    rules = materialise(rules, "rules")
-    by_rule = rules.select("rule_id", F.col("i").alias("by"))
-    hits = union(gone, none.select("i", F.col("i").alias("by"))).join(by_rule, "by").select("i", "rule_id")
+        leaving = rows.join(ready.select("key"), "key", "left_semi").select("i").unionByName(turn.filter("j is null").select("i"))
+        still_open = materialise(rows.select("i", "key", "x", "y").join(leaving.distinct(), "i", "left_anti"), "open")
+
+    rules = buckets.limit(0).select("i", F.col("i").alias("j"), "key")
+    for part in made:
+        rules = rules.unionByName(part)
+    rules = materialise(number_rows(rules.select("i", "j", "key.p", "key.q", "key.rule"), ["i"], "rule_id"), "rules")
+    # A vector left with the first rule that fits it.
+    by_key = rules.select("rule_id", F.struct("p", "q", "rule").alias("key"))
+    hits = buckets.join(by_key, "key").groupBy("i").agg(F.min("rule_id").alias("rule_id"))
     matched = distinct.select("vec", "i").join(hits, "i").select("vec", "rule_id")
     return Rules(rules, vectors.join(matched, "vec").select("vec_id", "rule_id"))
 
