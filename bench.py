@@ -41,7 +41,7 @@ def main() -> None:
         "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")}
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.range(1000).selectExpr("sum(id)").collect()  # start the executor before the clock
+    spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").count().collect()  # start-up is not part of a query
     timings = {}
     for name in HEADLINE:
         began = time.perf_counter()

@@ -24,25 +24,28 @@ def is_timestamp_fragment(value: Column) -> Column:
     )
 
 
+# Each predicate asks for a needed character before it runs its pattern.
+
+
 def is_address(value: Column) -> Column:
-    return _matches(value, P.ADDRESS)
+    return value.rlike(r"(?U)\A\d+\s") & _matches(value, P.ADDRESS)
 
 
 def is_dnsname(value: Column) -> Column:
     bare = F.regexp_replace(value, r"[.\])]+\z", "")
-    return _matches(bare, P.DNSNAME) & ~is_timestamp_fragment(bare)
+    return value.contains(".") & _matches(bare, P.DNSNAME) & ~is_timestamp_fragment(bare)
 
 
 def is_email(value: Column) -> Column:
-    return _matches(value, P.EMAIL)
+    return value.contains("@") & _matches(value, P.EMAIL)
 
 
 def is_ip(value: Column) -> Column:
-    return _matches(value, P.IPV4) | _matches(value, P.IPV6)
+    return (value.contains(".") & _matches(value, P.IPV4)) | (value.contains(":") & _matches(value, P.IPV6))
 
 
 def is_mac(value: Column) -> Column:
-    return _matches(value, P.MAC)
+    return (F.length(value) == 17) & _matches(value, P.MAC)
 
 
 def is_phonenumber(value: Column) -> Column:
@@ -69,7 +72,7 @@ def is_time(value: Column) -> Column:
         | _part_exceeds(value, 1, 59)
         | _part_exceeds(value, 2, 59)
     )
-    return ~refused & _matches(value, P.TIME)
+    return _matches(value, P.TIME) & ~refused
 
 
 def is_tty(value: Column) -> Column:
@@ -77,7 +80,7 @@ def is_tty(value: Column) -> Column:
 
 
 def is_url(value: Column) -> Column:
-    return _matches(value, P.URL)
+    return value.contains("://") & _matches(value, P.URL)
 
 
 MATCHERS: dict[str, Callable[[Column], Column]] = {

@@ -52,15 +52,20 @@ def _other_columns(lines: DataFrame) -> list[str]:
 def _labelled_values(lines: DataFrame, extractors: Sequence[str], include: list[str], exclude: list[str]) -> DataFrame:
     text = F.col("text")
     found = F.concat(*[EXTRACTORS[name](text) for name in extractors])
-    values = lines.select(*_other_columns(lines), F.posexplode(found).alias("pos", "value"))
-    values = values.filter((F.octet_length("value") >= 3) & ~F.col("value").isin(*SKIPPED_LITERALS))
-    labels = classify(F.col("value"))
-    if exclude:
-        labels = F.array_except(labels, F.array(*map(F.lit, exclude)))
-    labelled = values.withColumn("categories", labels).filter(F.size("categories") > 0)
+    wanted = F.filter(found, lambda v: (F.octet_length(v) >= 3) & ~v.isin(*SKIPPED_LITERALS))
+
+    def label(value: Column) -> Column:
+        labels = classify(value)
+        return F.array_except(labels, F.array(*map(F.lit, exclude))) if exclude else labels
+
+    # Labelled before the values become rows: a filter on a computed column would work it out twice.
+    labelled = F.transform(wanted, lambda v: F.struct(v.alias("value"), label(v).alias("categories")))
+    rows = lines.select(*_other_columns(lines), F.posexplode(labelled).alias("pos", "_v"))
+    rows = rows.select(*_other_columns(lines), F.col("pos").cast("bigint").alias("pos"), "_v.value", "_v.categories")
+    rows = rows.filter(F.size("categories") > 0)
     if include:
-        labelled = labelled.filter(F.arrays_overlap("categories", F.array(*map(F.lit, include))))
-    return labelled.withColumn("pos", F.col("pos").cast("bigint"))
+        rows = rows.filter(F.arrays_overlap("categories", F.array(*map(F.lit, include))))
+    return rows
 
 
 def classify_lines(
@@ -82,10 +87,9 @@ def extract_entries(lines: DataFrame, types: str | Iterable[str] = ENTRY_TYPES)
     text = F.col("text")
     wanted = names(types)
     found = F.concat(*[_tagged(name, make(text), "type") for name, make in _ENTRY_EXTRACTORS.items() if name in wanted])
-    # The stamp is read once per line, before the values multiply the rows.
-    stamped = lines.withColumn("timestamp", line_timestamp(text)).withColumn("_found", found).filter(F.size("_found") > 0)
     keep = _other_columns(lines)
-    return stamped.select(*keep, "timestamp", F.posexplode("_found").alias("pos", "_entry")).select(
+    # Spark reads the stamp after the explode, so only for lines that hold something.
+    return lines.select(*keep, line_timestamp(text).alias("timestamp"), F.posexplode(found).alias("pos", "_entry")).select(
         *keep, F.col("pos").cast("bigint").alias("pos"), "timestamp", "_entry.type", "_entry.value"
     )
 

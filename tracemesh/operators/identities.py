@@ -23,10 +23,11 @@ def _qualified(entries: DataFrame, types, max_freq: float, greedy: bool) -> Data
 def _components(entries: DataFrame, types, max_freq: float) -> DataFrame:
     """Line to the smallest line of its component; lines that share nothing stand alone."""
     pairs = _qualified(entries, types, max_freq, greedy=False).select("type", "value", "line").distinct()
+    pairs = materialise(pairs, "value-lines")
     # One edge from each line to the first line of the value links the same lines as all pairs would.
     first = pairs.groupBy("type", "value").agg(F.min("line").alias("src"))
     edges = pairs.join(first, ["type", "value"]).select("src", F.col("line").alias("dst")).filter("src <> dst").distinct()
-    labels = spanning_forest(edges, []).labels
+    labels = spanning_forest(materialise(edges, "links"), []).labels
     smallest = labels.groupBy("root").agg(F.min("node").alias("start"))
     linked = labels.join(smallest, "root").select(F.col("node").alias("line"), "start")
     lines = entries.select("line").distinct()
@@ -43,7 +44,7 @@ def _greedy(entries: DataFrame, types, max_freq: float) -> DataFrame:
     """
     kept = _qualified(entries, types, max_freq, greedy=True)
     kept = kept.select("line", "pos", vkey(F.col("type"), F.col("value")).alias("vkey"))
-    kept = previous_value(kept, "line", "pos", F.col("vkey"), "_before")
+    kept = previous_value(materialise(kept, "kept"), "line", "pos", F.col("vkey"), "_before")
     place = F.struct("line", "pos")
     values = materialise(
         kept.groupBy("vkey").agg(F.min(place).alias("c"), F.min_by("_before", place).alias("_before")), "values"

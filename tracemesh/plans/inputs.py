@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemesh.functions import node_key
-from tracemesh.session import shared_folder
+from tracemesh.session import shared_folder, spread
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -62,16 +62,16 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
             )
         )
     )
-    return events(spark, sf).select(F.col("event_id").alias("line"), text.alias("text"))
+    return spread(events(spark, sf), "event_id").select(F.col("event_id").alias("line"), text.alias("text"))
 
 
 def all_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every text of the tables and the event log: ``(src, id, text)``."""
     parts = [
         event_log(spark, sf).select(F.lit("log").alias("src"), F.col("line").alias("id"), "text"),
-        load(spark, sf, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text"),
+        spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text"),
         load(spark, sf, "pages").select(F.lit("url").alias("src"), F.col("page_id").alias("id"), F.col("url").alias("text")),
-        load(spark, sf, "pages").select(F.lit("html").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text")),
+        spread(load(spark, sf, "pages").select("page_id", "html"), "page_id").select(F.lit("html").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text")),
         load(spark, sf, "conversations").select(F.lit("chat").alias("src"), F.col("conv_id").alias("id"), "text"),
     ]
     every = parts[0]
@@ -121,7 +121,8 @@ def order_entries(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("part").alias("type"), _text("p", F.col("l_partkey")).alias("value")),
         F.struct(F.lit("supp").alias("type"), _text("s", F.col("l_suppkey")).alias("value")),
     )
-    return load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("line"), F.explode(found).alias("e")).select("line", "e.*")
+    rows = spread(load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), "l_partkey")
+    return rows.select(F.col("l_orderkey").alias("line"), F.explode(found).alias("e")).select("line", "e.*")
 
 
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:

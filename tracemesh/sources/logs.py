@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tracemesh.operators.entries import limit_lines
 
-BROADCAST_BLOCKS = 2_000_000  # three numbers each: about 50 MB
+BROADCAST_BLOCKS = 300_000  # a path and two numbers each: some 50 MB
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
@@ -19,22 +19,25 @@ def _without_cr(value: str):
     return F.regexp_replace(value, r"\r\z", "")
 
 
-def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: int = 1) -> DataFrame:
+def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: int = 1, across_files: bool = False) -> DataFrame:
     """``(path, line, text)`` with 1-based line numbers per file, for local paths and object stores alike.
 
+    ``across_files`` numbers on from one file to the next, by file name.
+
     The text is never shuffled.  A first pass counts the lines of each file block; a line's
     number is its place in its task, less that of the first line of its block, plus
     the lines of earlier blocks.  The block table is broadcast if it is small, which is checked.
     """
     lines = _text(spark, path).select(
         F.col("_metadata.file_path").alias("path"),
-        F.xxhash64("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_place"),
         _without_cr("value").alias("text"),
     )
     blocks = lines.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start"))
-    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file block, so even over all files the window stays small.
+    order = Window.orderBy("path", "_block") if across_files else Window.partitionBy("path").orderBy("_block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + 1
     blocks = blocks.select("path", "_block", shift.alias("_shift")).cache()
     try:
@@ -42,7 +45,7 @@ def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: i
     finally:
         blocks.unpersist()
     keyed = F.broadcast(blocks) if small else blocks
-    numbered = lines.drop("_file").join(keyed, ["path", "_block"]).select(
+    numbered = lines.join(keyed, ["path", "_block"]).select(
         "path", (F.col("_place") + F.col("_shift")).alias("line"), "text"
     )
     return limit_lines(numbered, limit, sample)

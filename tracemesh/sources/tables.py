@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemesh.functions.times import parse_instant
-from tracemesh.operators.order import number_rows
 from tracemesh.sources.logs import read_log
 
 ENTRY_SCHEMA = "line BIGINT, timestamp STRING, type STRING, value STRING, identity STRING"
@@ -38,10 +37,9 @@ def read_idrows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """``(rec, json)``: JSON lines numbered in input order, by file name and line; blank lines left out."""
-    lines = read_log(spark, path).filter(F.trim("text") != "")
-    numbered = number_rows(lines, ["path", "line"], "rec")
-    return numbered.select("rec", F.col("text").alias("json"))
+    """``(rec, json)``: JSON lines numbered in input order over all files by name; blank lines left out."""
+    lines = read_log(spark, path, across_files=True).filter(F.trim("text") != "")
+    return lines.select(F.col("line").alias("rec"), F.col("text").alias("json"))
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
