@@ -7,6 +7,7 @@ from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 from pyspark.sql.window import Window
 
 
@@ -22,7 +23,9 @@ def gap_sessions(rows: DataFrame, gap_ms: int = 1000, keys: Sequence[str] = (),
     """
     keys = list(keys)
     gap_us = gap_ms * 1000 + 999  # a gap counts in whole milliseconds
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    kind = rows.schema[ts].dataType
+    epoch = F.lit("1970-01-01 00:00:00Z" if isinstance(kind, TimestampType) else "1970-01-01 00:00:00").cast(kind)
+    at = F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
     timed = rows.withColumn("_at", at).withColumn("_bucket", F.expr(f"floor(_at / {gap_us})"))
     span = timed.agg(F.min("_bucket").alias("low"), F.max("_bucket").alias("high")).first()
     size = max(1024, isqrt((span["high"] or 0) - (span["low"] or 0) + 1))
@@ -49,9 +52,7 @@ def gap_sessions(rows: DataFrame, gap_ms: int = 1000, keys: Sequence[str] = (),
         *keys, "_bucket", F.coalesce(so_far, F.col("_carried")).alias("_session")
     )
     joined = timed.join(sessions, [*keys, "_bucket"])
-    begin = F.timestamp_micros("_session")
-    begin = begin.cast(rows.schema[ts].dataType)
-    return joined.withColumn("session", begin).drop("_at", "_bucket", "_session")
+    return joined.withColumn("session", F.timestamp_add("MICROSECOND", F.col("_session"), epoch)).drop("_at", "_bucket", "_session")
 
 
 def session_summary(sessions: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:

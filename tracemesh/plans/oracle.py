@@ -528,6 +528,26 @@ _CELLS = f"""{VECTORS}, d AS (SELECT min(vec_id) AS i, vec[2] AS e, vec[4] AS k,
 _TWO = "(a.e <> b.e)::INT + (a.k <> b.k)::INT + (a.u <> b.u)::INT = 2"
 ORACLE["hamming_partners"] = f"WITH {_CELLS} SELECT a.i, min(b.i) AS j FROM d a JOIN d b ON {_TWO} GROUP BY a.i"
 
+# One step of mining per recursion; the row -1 fits no rule and keeps the last step visible.
+MINED = f"""RECURSIVE {_CELLS},
+mined(step, i, e, k, u, ri, rj) AS (
+  SELECT 0, i, e, k, u, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM d UNION ALL SELECT 0, -1, -1, -1, -1, NULL, NULL
+  UNION ALL
+  SELECT m.step + 1, m.i, m.e, m.k, m.u, a.i, b.i
+  FROM mined m, (SELECT min((a.i, b.i)) AS pair FROM mined a JOIN mined b ON {_TWO} WHERE a.i >= 0 AND b.i > a.i) p
+  JOIN mined a ON a.i = p.pair[1] JOIN mined b ON b.i = p.pair[2]
+  WHERE m.i = -1 OR (a.e = b.e AND m.e <> a.e) OR (a.k = b.k AND m.k <> a.k) OR (a.u = b.u AND m.u <> a.u)),
+rules AS (SELECT step AS rule_id, ri, rj FROM mined WHERE step > 0 AND i = -1)"""
+ORACLE["rule_coverage"] = f"""WITH {MINED},
+lost AS (SELECT i, max(step) + 1 AS rule_id FROM mined WHERE i >= 0 GROUP BY i),
+copies AS (SELECT min(vec_id) AS i, count(*) AS n FROM vectors GROUP BY vec)
+SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(sum(n) AS BIGINT) AS cnt FROM lost JOIN copies USING (i) JOIN rules USING (rule_id) GROUP BY rule_id"""
+ORACLE["mine_rules"] = f"""WITH {MINED}, pairs AS (SELECT rule_id, a.vec AS va, b.vec AS vb, ri, rj,
+  list_filter(range(len(a.vec)), lambda x: a.vec[x + 1] <> b.vec[x + 1]) AS places
+  FROM rules JOIN vectors a ON a.vec_id = ri JOIN vectors b ON b.vec_id = rj)
+SELECT CAST(rule_id AS BIGINT) AS rule_id, ri AS i, rj AS j, CAST(places[1] AS INTEGER) AS p, CAST(places[2] AS INTEGER) AS q,
+  array_to_string(list_transform(range(len(va)), lambda x: CASE WHEN va[x + 1] = vb[x + 1] THEN va[x + 1] ELSE 0 END), ',') AS rule FROM pairs"""
+
 
 # --- files and provenance ----------------------------------------------------------------------------------
 
