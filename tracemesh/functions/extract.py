@@ -117,7 +117,7 @@ def extract_times(text: Column) -> Column:
 
 
 def extract_ttys(text: Column) -> Column:
-    """Terminal paths, terminal references (overlapping the paths) and ``tty=`` assignments."""
+    """Terminal paths, terminal mentions (overlapping the paths) and ``tty=`` assignments."""
     terminal = text.contains("tty") | text.contains("pts")
     assigned = F.transform(_find(text, P.FIND_TTY_ASSIGNED, 1, ahead="(?=tty=)"), lambda name: F.concat(F.lit("tty="), name))
     return _when(
