@@ -117,11 +117,12 @@ def decode(encoded: DataFrame, ranks, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the output of :func:`decode`."""
+def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the output of :func:`decode`, with ``ids`` if wanted."""
     written = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id",
+        *(["ids"] if keep_ids else []),
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(written.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

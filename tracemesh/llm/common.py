@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemesh.session import materialise
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BROADCAST_MARKS = 2_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def labelled(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``(doc_id, text, y)`` of the documents in ``marked(doc_id, y)``, which is unique on the id.
+
+    Up to two million marks, some 50 MB, are broadcast, so that no text moves; more are joined by a shuffle.
+    """
+    marked = materialise(marked, "marked")
+    few = marked.count() <= BROADCAST_MARKS
+    return id_and_text(docs).join(F.broadcast(marked) if few else marked, "doc_id").select("doc_id", "text", "y")
+
+
 def remainder(doc_id: Column, folds: int) -> Column:
     """The fold of a document: the CRC-32 of its decimal id, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -12,6 +12,8 @@ from tracemesh.session import materialise
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
 ROUNDS = 15
+#: The share of good documents that a rule for bad ones may vote on by mistake.
+STRAY = 0.02
 
 
 def repeated_window_words(words: Column) -> Column:
@@ -53,6 +55,7 @@ def measures(docs: DataFrame) -> DataFrame:
         left(r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.size("lines").cast("bigint").alias("n_lines"),
+        F.size(F.filter("lines", lambda line: line.rlike(r"[.!?]['\"»”)]*\s*$"))).cast("bigint").alias("n_sentence_lines"),
         repeated_window_words(F.col("words")).alias("n_repeat_words"),
         F.size(F.array_distinct("words")).cast("bigint").alias("n_distinct"),
         left(r"\P{Lu}+").alias("n_upper"),
@@ -60,65 +63,69 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def votes() -> list[Column]:
-    """One vote per rule: good, bad, or abstain where the rule cannot tell."""
+def rules() -> dict[str, tuple[int, Column]]:
+    """Each rule's vote and the condition on which it is cast; where that does not hold, or is null, the rule abstains."""
     part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-
-    def rule(value: Column, bad: Column, good: Column, applies: Column) -> Column:
-        return F.when(applies & bad, BAD).when(applies & good, GOOD).otherwise(ABSTAIN).cast("int")
-
     some, many = F.col("n_words") > 0, F.col("n_words") >= 20
     length, symbols = part("word_chars", "n_words"), part("n_symbols", "n_words")
     upper, letters = part("n_upper", "n_letters"), part("n_letters", "word_chars")
     repeats, duplicate = part("n_repeat_words", "n_words"), part("n_dup_lines", "n_lines")
     # With more words, more of them occur again in any prose; the root keeps the rule from punishing length.
     variety = F.col("n_distinct") / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    return [
-        rule(length, (length < 2) | (length > 15), (length >= 3) & (length <= 12), some),
-        rule(symbols, symbols > 0.1, symbols < 0.02, some),
-        rule(upper, upper > 0.3, upper < 0.1, many),
-        rule(letters, letters < 0.6, letters > 0.8, some),
-        rule(repeats, repeats > 0.3, repeats < 0.1, many),
-        rule(duplicate, duplicate > 0.3, duplicate < 0.1, F.col("n_lines") >= 4),
-        rule(variety, variety < 1.5, variety > 3, F.col("n_words") >= 50),
-    ]
-
-
-def posterior(vote_list: Column, rates: list[tuple[dict, dict]], prior: float) -> Column:
-    """The probability that a document with these votes is good."""
+    even = length.between(3, 12) & (symbols < 0.02) & (upper < 0.1) & (letters > 0.8) & (repeats < 0.35)
+    uneven = ~length.between(2, 15) | (symbols > 0.05) | (upper > 0.2) | (letters < 0.7) | (repeats > 0.4)
+    return {
+        "odd word length": (BAD, some & ((length < 2) | (length > 15))),
+        "symbols": (BAD, some & (symbols > 0.1)),
+        "capitals": (BAD, many & (upper > 0.3)),
+        "few letters": (BAD, some & (letters < 0.6)),
+        "repeated windows": (BAD, many & (repeats > 0.4)),
+        "repeated lines": (BAD, (F.col("n_lines") >= 4) & (duplicate > 0.3)),
+        "few different words": (BAD, (F.col("n_words") >= 50) & (variety < 1.5)),
+        "uneven prose": (BAD, many & uneven),
+        "even prose": (GOOD, many & even),
+        "sentences": (GOOD, many & (part("n_sentence_lines", "n_lines") >= 0.5)),
+        "varied words": (GOOD, (F.col("n_words") >= 50) & (variety > 5)),
+    }
+
+
+def posterior(votes: Column, rates: list[tuple[float, float]], prior: float) -> Column:
+    """The probability that a document with these votes is good; an abstention counts for neither side."""
     odds = F.lit(math.log(prior / (1 - prior)))
-    for j, (good, bad) in enumerate(rates):
-        vote = vote_list[j]
-        for value in (GOOD, BAD):
-            odds = odds + F.when(vote == value, math.log(good[value] / bad[value])).otherwise(0.0)
+    for j, (in_good, in_bad) in enumerate(rates):
+        odds = odds + F.when(votes[j] != ABSTAIN, math.log(in_good / in_bad)).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
-def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict, dict]], float]:
+def fit(patterns: DataFrame, sides: list[int], rounds: int = ROUNDS) -> tuple[list[tuple[float, float]], float]:
     """Expectation-maximisation over the distinct vote patterns ``(votes, n)``.
 
-    Per rule and class the rates of good and bad votes among those cast, and the share of good
-    documents.  It starts from "no bad vote means good".  There are at most 3 ** rules patterns,
+    Estimates how often each rule votes on good and on bad documents, and the share of good ones, starting from
+    "one bad vote makes a document bad".  A rule for bad documents is taken to vote on at most ``STRAY`` of the good
+    ones, and every rule to be no worse than chance.  There are at most 2 ** rules patterns,
     whatever the size of the corpus; each round is one aggregate over them.
     """
-    good = F.when(F.array_contains("votes", BAD), 0.1).otherwise(0.95)
+    good = F.when(F.array_contains("votes", BAD), 0.05).otherwise(0.95)
     rates, prior = [], 0.5
     for _ in range(rounds):
         weighed = patterns.withColumn("g", good)
-        mass = lambda condition, weight: F.coalesce(F.sum(F.when(condition, F.col("n") * weight)), F.lit(0.0))
-        sums = [mass(F.lit(True), F.col("g")), mass(F.lit(True), 1 - F.col("g"))]
-        for j in range(n_rules):
-            for value in (GOOD, BAD):
-                sums += [mass(F.col("votes")[j] == value, F.col("g")), mass(F.col("votes")[j] == value, 1 - F.col("g"))]
-        row = list(weighed.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first())
-        prior = min(max((row[0] + 1) / (row[0] + row[1] + 2), 0.01), 0.99)
+        sums = []
+        for weight in (F.col("g"), 1 - F.col("g")):
+            sums.append(F.sum(F.col("n") * weight))
+            sums += [F.sum(F.when(F.col("votes")[j] != ABSTAIN, F.col("n") * weight).otherwise(0.0)) for j in range(len(sides))]
+        row = [x or 0.0 for x in weighed.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()]
+        n_good, *of_good = row[: len(sides) + 1]
+        n_bad, *of_bad = row[len(sides) + 1 :]
+        prior = min(max((n_good + 1) / (n_good + n_bad + 2), 0.01), 0.99)
         rates = []
-        for j in range(n_rules):
-            yes_good, yes_bad, no_good, no_bad = row[2 + 4 * j : 6 + 4 * j]
-            # One vote each way in advance; a rule counts as better than chance on good documents.
-            in_good = min(max((yes_good + 1) / (yes_good + no_good + 2), 0.5), 0.9999)
-            in_bad = min(max((yes_bad + 1) / (yes_bad + no_bad + 2), 0.0001), in_good)
-            rates.append(({GOOD: in_good, BAD: 1 - in_good}, {GOOD: in_bad, BAD: 1 - in_bad}))
+        for side, g, b in zip(sides, of_good, of_bad, strict=True):
+            in_good, in_bad = (g + 0.1) / (n_good + 1), (b + 0.1) / (n_bad + 1)
+            if side == BAD:
+                in_good = min(in_good, STRAY)
+                in_bad = max(in_bad, in_good)
+            else:
+                in_bad = min(in_bad, in_good)
+            rates.append((in_good, in_bad))
         good = posterior(F.col("votes"), rates, prior)
     return rates, prior
 
@@ -131,10 +138,11 @@ def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Null texts count as empty and fail; null ids and repeated rows are rows like any other;
     an empty table gives an empty result.
     """
-    rules = votes()
-    measured = materialise(measures(docs).withColumn("votes", F.array(*rules)), "measures")
+    cast = rules().values()
+    votes = F.array(*[F.when(condition, side).otherwise(ABSTAIN).cast("int") for side, condition in cast])
+    measured = materialise(measures(docs).withColumn("votes", votes), "measures")
     patterns = materialise(measured.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
-    rates, prior = fit(patterns, len(rules), rounds)
+    rates, prior = fit(patterns, [side for side, _ in cast], rounds)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = measured.withColumn("base_failed", failed).withColumn("quality", posterior(F.col("votes"), rates, prior))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))

@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemesh.llm.common import id_and_text, remainder, small_batches
+from tracemesh.llm.common import id_and_text, labelled, remainder, small_batches
 from tracemesh.session import materialise
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
@@ -20,13 +21,15 @@ PRIOR = 4.0
 #: Lengths in characters of the beginnings that pass their rate on to longer ones.
 STEMS = (4, 5, 6)
 #: What every token costs, so that chance passages stay short.
-DRIFT = 0.5
+DRIFT = 1.0
 #: The model has at most so many entries: those that tell most.
 ENTRIES = 1 << 16
 #: Occurrences of a token, or beginning, that it takes to have an entry.
 SUPPORT = 3
-#: A passage is significant if so few of its score are expected by chance in a text of that length.
+#: A text is toxic if chance makes its passages as good as that with at most this probability.
 SIGNIFICANT = 0.01
+#: The best passages of a text that are judged together; their joint law falls off long before.
+RANKS = 50
 
 #: What str.split() takes for white space.
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
@@ -44,11 +47,12 @@ def tokens_of(text: str) -> list[str]:
 
 @dataclass
 class ToxicModel:
-    """Log-odds of tokens and beginnings, and the two numbers of the extreme-value law."""
+    """Log-odds of tokens and beginnings, the two numbers of the extreme-value law, and what clean texts exceed it by."""
 
     odds: dict[str, float]
     decay: float = 1.0
     rate: float = 1.0
+    shift: float = 0.0
     known: dict[str, float] = field(default_factory=dict)
 
     def token(self, token: str) -> float:
@@ -71,24 +75,50 @@ class ToxicModel:
                 known[t] = self.token(t)
             return np.array([known[t] for t in tokens])
 
-    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of tokens, and ``(first, end, score)`` of every maximal passage in token positions."""
-        scores = self.scores(tokens_of(text))
-        return len(scores), maximal_segments(scores)
-
-    def evidence(self, n: int, score: float) -> float:
-        """Minus the logarithm of how many passages of that score chance puts into ``n`` tokens."""
+    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]], np.ndarray]:
+        """Number of tokens, ``(first, end, score)`` of every maximal passage in token positions, and the token scores.
+
+        The k-th time that a text says the same telling token, its log-odds count for a k-th: a text that is
+        one word over and over has said it once.
+        """
+        tokens = tokens_of(text)
+        scores = self.scores(tokens)
+        said: dict[str, int] = {}
+        for i in np.flatnonzero(scores > 0).tolist():
+            said[tokens[i]] = k = said.get(tokens[i], 0) + 1
+            if k > 1:
+                scores[i] = (scores[i] + DRIFT) / k - DRIFT
+        return len(scores), maximal_segments(scores), scores
+
+    def normal(self, n: int, score: float) -> float:
+        """The score of a passage in units in which chance puts ``exp(-x)`` passages beyond ``x`` into ``n`` tokens."""
         return self.decay * score - math.log(max(self.rate * n, 1e-300))
 
+    def evidence(self, n: int, scores: Sequence[float]) -> float:
+        """Minus the logarithm of how likely chance makes passages as good as the best ones of a text.
+
+        The best ``r`` together: the sum of their normal scores exceeds ``t`` with probability
+        ``exp(-t) t^(r-1) / (r! (r-1)!)``; every ``r`` is tried, at the price of a factor ``2^r``.
+        """
+        best, total = -50.0, 0.0
+        for r, score in enumerate(sorted(scores, reverse=True)[:RANKS], 1):
+            x = self.normal(n, score)
+            if r > 1 and x <= 0:
+                break
+            total += x
+            law = total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2)
+            best = max(best, law)
+        return best
+
     def judge(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The probability-like score of a text, one half where chance reaches ``SIGNIFICANT``, and the passages beyond that."""
-        n, found = self.passages(text)
-        threshold = -math.log(SIGNIFICANT)
-        weighed = [(s, e, self.evidence(n, score)) for s, e, score in found]
-        significant = [p for p in weighed if p[2] >= threshold]
-        best = max((p[2] for p in weighed), default=-math.log(max(self.rate * n, 1.0)) - 5.0)
-        total = sum(p[2] - threshold for p in significant) if significant else best - threshold
-        return 1 / (1 + math.exp(-min(max(total, -50.0), 50.0))), significant
+        """The score of a text, one half where chance reaches ``SIGNIFICANT``, and its significant passages.
+
+        A passage is significant alone, or as one of those with a positive normal score in a text that is beyond one half.
+        """
+        n, found, _ = self.passages(text)
+        over = self.evidence(n, [s for *_, s in found]) - self.shift + math.log(SIGNIFICANT)
+        weighed = [(s, e, self.normal(n, score)) for s, e, score in found]
+        return 1 / (1 + math.exp(-min(max(over, -50.0), 50.0))), [p for p in weighed if over >= 0 and p[2] > 0]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -114,8 +144,11 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """``(token, toxic, clean)``: occurrences by class, from ``(text, y)``."""
-    tokens = F.transform(F.split(F.lower("text"), _BLANKS), lambda w: F.trim(w, F.lit(_EDGES)))
+    """``(token, toxic, clean)``: documents of either class that have the token, from ``(text, y)``.
+
+    Documents, not occurrences: a word that one text says a hundred times says no more than one said once.
+    """
+    tokens = F.array_distinct(F.transform(F.split(F.lower("text"), _BLANKS), lambda w: F.trim(w, F.lit(_EDGES))))
     return rows.select(F.explode(tokens).alias("token"), "y").filter("token <> ''").groupBy("token").agg(
         F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")
     )
@@ -164,30 +197,29 @@ def calibrate(model: ToxicModel, clean: DataFrame) -> ToxicModel:
     """Fit the extreme-value law of the best passage to the texts of ``clean`` documents.
 
     The decay solves ``sum p(s) exp(decay * s) = 1`` over the token scores of clean text; given it, the
-    rate is the maximum-likelihood one for the best scores and lengths.  Only sums come back from the tasks.
+    rate is the maximum-likelihood one for the best scores and lengths.  Last, the evidence is shifted so that no more than a
+    share ``SIGNIFICANT`` of the clean texts is beyond one half.  Only sums come back from the tasks.
     """
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch["text"].to_pylist():
-                scores = model.scores(tokens_of(text))
-                bins, n = np.unique(np.round(scores * 4).astype(np.int64), return_counts=True)
-                top = max((s for *_, s in maximal_segments(scores)), default=0.0)
-                rows.append((len(scores), top, bins.tolist(), n.tolist()))
-            names = ["n", "top", "bins", "counts"]
-            types = [pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+                n, found, scores = model.passages(text)
+                bins, counts = np.unique(np.round(scores * 4).astype(np.int64), return_counts=True)
+                rows.append((n, sorted((s for *_, s in found), reverse=True)[:RANKS], bins.tolist(), counts.tolist()))
+            types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["n", "best", "bins", "counts"])
 
     small_batches(clean.sparkSession)
-    seen = clean.select("text").mapInArrow(best, "n bigint, top double, bins array<bigint>, counts array<bigint>").filter("n > 0")
+    seen = clean.select("text").mapInArrow(passages, "n bigint, best array<double>, bins array<bigint>, counts array<bigint>").filter("n > 0")
     seen = materialise(seen, "calibration")
     bins = seen.select(F.explode(F.arrays_zip("bins", "counts")).alias("b")).groupBy("b.bins").agg(F.sum("b.counts").alias("n"))
     histogram = [(r["bins"] / 4, r["n"]) for r in bins.collect()]  # scores lie between fixed bounds, so do the bins
     everything = sum(n for _, n in histogram)
     if not everything:
         return model
-    low, high = 0.05, 5.0  # the decay is looked for in these bounds
+    low, high = 0.05, 3.0  # the decay is looked for in these bounds
     for _ in range(60):
         middle = (low + high) / 2
         if sum(n * math.exp(middle * s) for s, n in histogram) > everything:
@@ -195,8 +227,16 @@ def calibrate(model: ToxicModel, clean: DataFrame) -> ToxicModel:
         else:
             low = middle
     model.decay = low
-    sums = seen.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("n") * F.exp(-model.decay * F.col("top"))).alias("mass")).first()
+    top = F.coalesce(F.get("best", F.lit(0)), F.lit(0.0))
+    sums = seen.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("n") * F.exp(-model.decay * top)).alias("mass")).first()
     model.rate = sums["docs"] / max(sums["mass"], 1e-9)
+
+    @F.pandas_udf("double")
+    def evidence(n: pd.Series, best: pd.Series) -> pd.Series:
+        return pd.Series([model.evidence(k, b) for k, b in zip(n, best, strict=True)], dtype="float64")
+
+    edge = seen.agg(F.percentile_approx(evidence("n", "best"), 1 - SIGNIFICANT, 10_000).alias("edge")).first()["edge"]
+    model.shift = max(0.0, edge + math.log(SIGNIFICANT))
     return model
 
 
@@ -208,7 +248,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> To
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marked = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("y")).filter(~held_out(F.col("doc_id")))
-    rows = id_and_text(docs).join(marked, "doc_id").withColumn("fold", remainder(F.col("doc_id"), FOLDS))
+    rows = labelled(docs, marked).withColumn("fold", remainder(F.col("doc_id"), FOLDS))
     model = ToxicModel(log_odds(token_counts(rows.filter(F.col("fold") != CALIBRATION))))
     if not model.odds:
         return model
