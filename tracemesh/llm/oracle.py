@@ -48,7 +48,7 @@ WITH captures AS (
   SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetch_day, string_split({_HOST}, '.') AS labels FROM pages
 ), named AS (
   SELECT page_id, fetch_day, unnest(list_distinct(list_concat(['url:' || url], CASE WHEN labels <> [''] THEN
-    list_transform(range(1, greatest(len(labels) - 1, 1) + 1), i -> 'host:' || array_to_string(labels[i:], '.')) ELSE [] END))) AS key
+    list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: 'host:' || array_to_string(labels[i:], '.')) ELSE [] END))) AS key
   FROM captures WHERE url IS NOT NULL
 ), hosts AS (
   SELECT key, ('0x' || substr(md5(key), 1, 4))::INT AS h FROM (SELECT DISTINCT 'host:' || {_HOST} AS key FROM pages)
