@@ -71,8 +71,9 @@ class ToxicModel:
         try:
             return np.array([known[t] for t in tokens])
         except KeyError:
-            for t in set(tokens) - known.keys():
-                known[t] = self.token(t)
+            for t in tokens:
+                if t not in known:
+                    known[t] = self.token(t)
             return np.array([known[t] for t in tokens])
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]], np.ndarray]:
