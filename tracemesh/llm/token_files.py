@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -58,7 +59,7 @@ class WordCoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode().lower()
@@ -82,7 +83,10 @@ class WordCoder:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            parts = [self._seen(w) for w in words]
+            for w in words:
+                if w not in known:
+                    known[w] = self._word(w)
+            parts = [known[w] for w in words]
         return b"".join(parts) + self.end
 
 
