@@ -73,13 +73,13 @@ def rules() -> dict[str, tuple[int, Column]]:
     # With more words, more of them occur again in any prose; the root keeps the rule from punishing length.
     variety = F.col("n_distinct") / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     even = length.between(3, 12) & (symbols < 0.02) & (upper < 0.1) & (letters > 0.8) & (repeats < 0.35)
-    uneven = ~length.between(2, 15) | (symbols > 0.05) | (upper > 0.2) | (letters < 0.7) | (repeats > 0.4)
+    uneven = ~length.between(2, 15) | (symbols > 0.05) | (upper > 0.2) | (letters < 0.7) | (repeats > 0.45)
     return {
         "odd word length": (BAD, some & ((length < 2) | (length > 15))),
         "symbols": (BAD, some & (symbols > 0.1)),
         "capitals": (BAD, many & (upper > 0.3)),
         "few letters": (BAD, some & (letters < 0.6)),
-        "repeated windows": (BAD, many & (repeats > 0.4)),
+        "repeated windows": (BAD, many & (repeats > 0.45)),
         "repeated lines": (BAD, (F.col("n_lines") >= 4) & (duplicate > 0.3)),
         "few different words": (BAD, (F.col("n_words") >= 50) & (variety < 1.5)),
         "uneven prose": (BAD, many & uneven),
