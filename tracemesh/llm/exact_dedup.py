@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from tracemesh.llm.common import fresh, id_and_text, id_key, text_digest
 from tracemesh.session import materialise
 
-#: A chunk ends with the first sentence or line end after 512 characters, at the latest after 4096.
-CHUNK = r"(?s).{512,4095}?[.!?\n]|(?s:.{1,4096})"
+#: A chunk of 64 characters or more ends after a blank or line end with a character of code 3 modulo 8 (in ASCII) before
+#: it and one of code 5 modulo 8 after it, at the latest after 4096 characters.  That is rare enough for the cuts of two
+#: texts to fall together again soon after a difference.
+CHUNK = r"(?s).{64,4095}?[#+3;CKS\[cks{][\x20\n](?=[%\-5=EMU\]emu}])|.{1,4096}"
 SALTS = 64
 
 

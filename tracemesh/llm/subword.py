@@ -15,7 +15,8 @@ from tracemesh.llm.common import fresh, id_and_text, remainder, small_batches
 BUCKETS = 1 << 17
 WIDTH = 8
 NGRAMS = (3, 4, 5)
-EPOCHS = 6
+#: Passes over the sample, and steps at least, which takes more passes over a small sample.
+EPOCHS, STEPS = 6, 8000
 RATE = 0.5
 #: At most so many labelled documents are used to fit; every document is scored.
 SAMPLE = 5000
@@ -95,6 +96,7 @@ def train(texts: Sequence[str], labels: Sequence[int], buckets: int = BUCKETS, w
         return SubwordModel(np.zeros(buckets, np.float32), float({(): 0.0, (0,): -3.0, (1,): 3.0}[tuple(present)]))
     balance = len(y) / (2 * np.bincount(y, minlength=2))
     bags = [np.unique(features(t, buckets), return_counts=True) for t in texts]
+    epochs = max(epochs, -(-STEPS // len(y)))
     steps, at = epochs * len(y), 0
     for _ in range(epochs):
         for d in rng.permutation(len(y)):

@@ -27,7 +27,7 @@ ENTRIES = 1 << 16
 #: Occurrences of a token, or beginning, that it takes to have an entry.
 SUPPORT = 3
 #: A text is toxic if chance makes its passages as good as that with at most this probability.
-SIGNIFICANT = 0.001
+SIGNIFICANT = 0.002
 #: The best passages of a text that are judged together; their joint law falls off long before.
 RANKS = 50
 
