@@ -105,9 +105,15 @@ def make_records(
     owner: str = "",
     contact: str = "",
     citation: str = "",
-    license_note: str = "Original repository license applies",
+    license_note: str = "see the place of origin",
+    collected: str = "Logs collected from",
+    described: str = "Log file of",
+    caution: str = "not checked for sensitive content",
 ) -> DataFrame:
-    """Collection records as ``json`` text from ``(location, source, size, events)``."""
+    """Collection records as ``json`` text from ``(location, source, size, events)``.
+
+    ``collected`` and ``described`` come before the system in the two descriptions; ``license_note`` and ``caution`` are taken as they are.
+    """
 
     def named(**parts) -> Column:
         return F.struct(*[value.alias(name.replace("_", " ")) for name, value in parts.items()])
@@ -120,10 +126,10 @@ def make_records(
             timestamp=now,
             author=F.lit(author),
             processing_type=F.lit("collection"),
-            processing_description=F.concat(F.lit("Collection of "), system, F.lit(" logs")),
+            processing_description=F.concat(F.lit(f"{collected} "), system),
         ).alias("entry"),
         named(
-            description=F.concat(F.lit("Log data from "), system, F.lit(" system, file: "), file),
+            description=F.concat(F.lit(f"{described} "), system, F.lit(": "), file),
             storage=named(
                 source_location=F.col("source"),
                 location=F.col("location"),
@@ -153,7 +159,7 @@ def make_records(
             PII=named(
                 sanitation=F.lit("pseudonymized"),
                 may_contain=F.array(*map(F.lit, MAY_CONTAIN)),
-                may_contain_other=F.array(F.lit("Log data might contain sensitive information")),
+                may_contain_other=F.array(F.lit(caution)),
                 confirmed_to_contain=none,
                 confirmed_to_contain_other=none,
             ),

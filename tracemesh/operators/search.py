@@ -38,8 +38,12 @@ class Term:
         return parts[0] if len(parts) == 1 else parts[0] & parts[1]
 
 
-def _time_caption(time: str) -> str:
-    has_date, has_clock = "-" in time, ":" in time
+#: Fixed value: what marks a date in the caption of a filtered entry; own entries use a hyphen.
+FILTERED_DATE_MARK = "."
+
+
+def _time_caption(time: str, date_mark: str = "-") -> str:
+    has_date, has_clock = date_mark in time, ":" in time
     if has_date and has_clock:
         return "Full timestamp match"
     return "Date match" if has_date else "Time match" if has_clock else "Timestamp match"
@@ -94,7 +98,7 @@ def search(routed: DataFrame, stats: DataFrame, groups: Groups, term: str) -> Da
 
     def filtered_text(caption_: Column) -> Column:
         if wanted.text is None:
-            return F.concat(caption_, F.lit(f" ({_time_caption(wanted.time)}: "), F.col("_m.timestamp"), F.lit(" (filtered entry))"))
+            return F.concat(caption_, F.lit(f" ({_time_caption(wanted.time, FILTERED_DATE_MARK)}: "), F.col("_m.timestamp"), F.lit(" (filtered entry))"))
         if wanted.time is not None:
             return F.concat(caption_, F.lit(f" (Combined match: {wanted.text} at {wanted.time} in filtered)"))
         return F.concat(caption_, F.lit(" (found in filtered entries)"))

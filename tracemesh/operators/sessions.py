@@ -20,8 +20,13 @@ def gap_sessions(rows: DataFrame, gap_ms: int = 1000, keys: Sequence[str] = (),
     bucket.  Buckets are ordered inside chunks, and the chunk borders are joined by a
     second pass over one row per chunk; with chunks of about the root of the number of
     buckets no window holds more than that many rows, whatever the size of the input.
+    Null keys are one key.
     """
-    keys = list(keys)
+    names = rows.columns
+    # Structs compare null-safe, plain keys do not.
+    if keys:
+        rows = rows.withColumn("_key", F.struct(*keys))
+    keys = ["_key"] if keys else []
     gap_us = gap_ms * 1000 + 999  # a gap counts in whole milliseconds
     kind = rows.schema[ts].dataType
     epoch = F.lit("1970-01-01 00:00:00Z" if isinstance(kind, TimestampType) else "1970-01-01 00:00:00").cast(kind)
@@ -52,7 +57,7 @@ def gap_sessions(rows: DataFrame, gap_ms: int = 1000, keys: Sequence[str] = (),
         *keys, "_bucket", F.coalesce(so_far, F.col("_carried")).alias("_session")
     )
     joined = timed.join(sessions, [*keys, "_bucket"])
-    return joined.withColumn("session", F.timestamp_add("MICROSECOND", F.col("_session"), epoch)).drop("_at", "_bucket", "_session")
+    return joined.withColumn("session", F.timestamp_add("MICROSECOND", F.col("_session"), epoch)).select(*names, "session")
 
 
 def session_summary(sessions: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:

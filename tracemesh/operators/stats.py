@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from tracemesh.functions import vkey
 from tracemesh.operators.entries import filter_types
 
+#: Fixed value: the occurrences allowed where no share of the lines is given.
+UNSHARED_MOST = 1000
+
 
 def category_stats(found: DataFrame) -> DataFrame:
     """Count and whole-number percentage per category, from ``categories`` arrays or a ``category`` column."""
@@ -61,10 +64,10 @@ def frequency_report(entries: DataFrame, types: str | Iterable[str] | None = Non
     return top.withColumn("share", share)
 
 
-def frequency_cap(entries: DataFrame, max_freq: float, greedy: bool = True):
-    """The largest count that still qualifies, as a scalar column."""
+def frequency_cap(entries: DataFrame, max_freq: float, greedy: bool = True, most: int = UNSHARED_MOST):
+    """The largest count that still qualifies, as a scalar column: ``max_freq`` percent of the lines, or ``most`` if that is not positive."""
     if greedy and max_freq <= 0:
-        return F.lit(1000)
+        return F.lit(most)
     cap = entries.agg(F.floor(F.lit(max_freq) / 100.0 * F.countDistinct("line")).alias("cap"))
     return cap.scalar()
 
@@ -74,10 +77,14 @@ def qualifying_values(
     types: str | Iterable[str] | None = None,
     max_freq: float = 10.0,
     greedy: bool = True,
+    most: int = UNSHARED_MOST,
 ) -> DataFrame:
-    """Values that occur at least twice and in no more than ``max_freq`` percent of the lines."""
+    """Values that occur at least twice and in no more than ``max_freq`` percent of the lines.
+
+    In greedy mode a ``max_freq`` of 0 or less asks for at most ``most`` occurrences instead.
+    """
     return value_frequency(entries, types).filter(
-        (F.col("cnt") >= 2) & (F.col("cnt") <= frequency_cap(entries, max_freq, greedy))
+        (F.col("cnt") >= 2) & (F.col("cnt") <= frequency_cap(entries, max_freq, greedy, most))
     )
 
 

@@ -78,7 +78,7 @@ def build_dictionary(records: DataFrame, base: int = BASE_TOKEN, existing: DataF
 
 def tokenise(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(vec_id, vec)`` per record.  Keys that are in every record are looked up by broadcast."""
-    found = items(records)
+    found = materialise(items(records), "items")  # three uses, one parse
     fixed = found.filter("mutable").select("rec", "idx", F.lit(TIME_TOKEN).cast("bigint").alias("token"))
     looked_up = join_counted(
         found.filter("not mutable").select("rec", "idx", "text"), dictionary.withColumnRenamed("token_text", "text"), "text", "cnt"
@@ -90,7 +90,7 @@ def tokenise(records: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def detokenise(vectors: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(vec_id, field, key, value)``: the items of each vector back as (lower-cased) JSON text."""
-    rows = vectors.select("vec_id", F.posexplode("vec").alias("idx", "token"))
+    rows = materialise(vectors.select("vec_id", F.posexplode("vec").alias("idx", "token")), "cells")
     texts = dictionary.select("token", "token_text", "cnt")
     known = join_counted(rows.filter(F.col("token") != TIME_TOKEN), texts, "token", "cnt").select("vec_id", "idx", "token_text")
     times = rows.filter(F.col("token") == TIME_TOKEN).select("vec_id", "idx", F.lit(TIME_TEXT).alias("token_text"))
@@ -111,19 +111,34 @@ def _distinct(vectors: DataFrame) -> DataFrame:
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
-    """Each vector once per pair of places, under the vector with both places masked.
+    """Each vector once per pair of places, under a 128-bit hash of what stands in the other places.
 
-    Two vectors of one length differ in at most the places (p, q) if they meet in that
+    The hash of a vector is the exclusive or of a hash per place, so leaving out two places takes two
+    more of them.  Two vectors of one length differ in at most the places (p, q) if they meet in that
     bucket.  Places where all vectors of a length agree are left out.
     """
     cells = distinct.select(F.size("vec").alias("n"), F.posexplode("vec").alias("p", "t"))
     varying = cells.groupBy("n", "p").agg((F.min("t") != F.max("t")).alias("_v")).filter("_v")
     places = varying.groupBy("n").agg(F.array_sort(F.collect_list("p")).alias("places"))
-    rows = distinct.withColumn("n", F.size("vec")).join(places, "n").withColumn("p", F.explode("places"))
+    whole = lambda seed: F.aggregate(F.transform("vec", lambda t, k: _cell_hash(t, k, seed)), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
+    hashed = distinct.select("i", "vec", F.size("vec").alias("n"), whole("h1").alias("h1"), whole("h2").alias("h2"))
+    rows = hashed.join(places, "n").withColumn("p", F.explode("places"))
     rows = rows.withColumn("q", F.explode("places")).filter("p < q")
-    masked = F.transform("vec", lambda t, k: F.when((k == F.col("p")) | (k == F.col("q")), F.lit(ANY_TOKEN).cast("bigint")).otherwise(t))
-    key = F.struct("p", "q", masked.alias("rule")).alias("key")
-    return rows.select("i", key, F.element_at("vec", F.col("p") + 1).alias("x"), F.element_at("vec", F.col("q") + 1).alias("y"))
+    x, y = F.element_at("vec", F.col("p") + 1), F.element_at("vec", F.col("q") + 1)
+
+    def others(seed: str) -> Column:
+        return F.col(seed).bitwiseXOR(_cell_hash(x, F.col("p"), seed)).bitwiseXOR(_cell_hash(y, F.col("q"), seed))
+
+    key = F.struct("n", "p", "q", others("h1").alias("h1"), others("h2").alias("h2")).alias("key")
+    return rows.select("i", key, x.alias("x"), y.alias("y"))
+
+
+def _cell_hash(token: Column, place: Column, seed: str) -> Column:
+    return F.xxhash64(F.lit(seed), place.cast("int"), token)
+
+
+def _masked(vec: str | Column, p: Column, q: Column) -> Column:
+    return F.transform(vec, lambda t, k: F.when((k == p) | (k == q), F.lit(ANY_TOKEN).cast("bigint")).otherwise(t))
 
 
 def _partners(buckets: DataFrame) -> DataFrame:
@@ -204,9 +219,12 @@ def mine_rules(vectors: DataFrame) -> Rules:
     rules = buckets.limit(0).select("i", F.col("i").alias("j"), "key")
     for part in made:
         rules = rules.unionByName(part)
-    rules = materialise(number_rows(rules.select("i", "j", "key.p", "key.q", "key.rule"), ["i"], "rule_id"), "rules")
+    found = materialise(number_rows(rules, ["i"], "rule_id"), "rules")
+    rules = found.join(distinct.select("i", "vec"), "i").select(
+        "i", "j", "key.p", "key.q", _masked("vec", F.col("key.p"), F.col("key.q")).alias("rule"), "rule_id"
+    )
     # A vector left with the first rule that fits it.
-    by_key = rules.select("rule_id", F.struct("p", "q", "rule").alias("key"))
+    by_key = found.select("rule_id", "key")
     hits = buckets.join(by_key, "key").groupBy("i").agg(F.min("rule_id").alias("rule_id"))
     matched = distinct.select("vec", "i").join(hits, "i").select("vec", "rule_id")
     return Rules(rules, vectors.join(matched, "vec").select("vec_id", "rule_id"))
@@ -239,8 +257,7 @@ def match_rules(vectors: DataFrame, rules: DataFrame) -> DataFrame:
     """
     shapes = rules.select(F.size("rule").alias("n"), "p", "q").distinct()
     keyed = vectors.withColumn("n", F.size("vec")).join(shapes, "n")
-    masked = F.transform("vec", lambda t, k: F.when((k == F.col("p")) | (k == F.col("q")), F.lit(ANY_TOKEN).cast("bigint")).otherwise(t))
-    keyed = keyed.select("vec_id", "p", "q", masked.alias("rule"))
+    keyed = keyed.select("vec_id", "p", "q", _masked("vec", F.col("p"), F.col("q")).alias("rule"))
     return keyed.join(rules.select("rule_id", "p", "q", "rule"), ["p", "q", "rule"]).select("vec_id", "rule_id")
 
 

@@ -121,7 +121,7 @@ def order_entries(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("part").alias("type"), _text("p", F.col("l_partkey")).alias("value")),
         F.struct(F.lit("supp").alias("type"), _text("s", F.col("l_suppkey")).alias("value")),
     )
-    rows = spread(load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), "l_partkey")
+    rows = spread(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"])
     return rows.select(F.col("l_orderkey").alias("line"), F.explode(found).alias("e")).select("line", "e.*")
 
 

@@ -542,11 +542,21 @@ ORACLE["rule_coverage"] = f"""WITH {MINED},
 lost AS (SELECT i, max(step) + 1 AS rule_id FROM mined WHERE i >= 0 GROUP BY i),
 copies AS (SELECT min(vec_id) AS i, count(*) AS n FROM vectors GROUP BY vec)
 SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(sum(n) AS BIGINT) AS cnt FROM lost JOIN copies USING (i) JOIN rules USING (rule_id) GROUP BY rule_id"""
-ORACLE["mine_rules"] = f"""WITH {MINED}, pairs AS (SELECT rule_id, a.vec AS va, b.vec AS vb, ri, rj,
+PAIRS = f"""{MINED}, pairs AS (SELECT rule_id, a.vec AS va, b.vec AS vb, ri, rj,
   list_filter(range(len(a.vec)), lambda x: a.vec[x + 1] <> b.vec[x + 1]) AS places
-  FROM rules JOIN vectors a ON a.vec_id = ri JOIN vectors b ON b.vec_id = rj)
+  FROM rules JOIN vectors a ON a.vec_id = ri JOIN vectors b ON b.vec_id = rj)"""
+ORACLE["mine_rules"] = f"""WITH {PAIRS}
 SELECT CAST(rule_id AS BIGINT) AS rule_id, ri AS i, rj AS j, CAST(places[1] AS INTEGER) AS p, CAST(places[2] AS INTEGER) AS q,
   array_to_string(list_transform(range(len(va)), lambda x: CASE WHEN va[x + 1] = vb[x + 1] THEN va[x + 1] ELSE 0 END), ',') AS rule FROM pairs"""
+ORACLE["rule_values"] = f"""WITH {PAIRS}, used AS (SELECT DISTINCT rule_id,
+  unnest([va[places[1] + 1], va[places[2] + 1], vb[places[1] + 1], vb[places[2] + 1]]) AS token FROM pairs)
+SELECT token, CAST(rule_id AS BIGINT) AS rule_id, count(*) OVER (PARTITION BY token) AS rules FROM used"""
+ORACLE["match_rules"] = f"""WITH {PAIRS} SELECT v.vec_id, CAST(rule_id AS BIGINT) AS rule_id FROM vectors v JOIN pairs ON len(v.vec) = len(va)
+  AND len(list_filter(range(len(va)), lambda x: va[x + 1] = vb[x + 1] AND va[x + 1] <> v.vec[x + 1])) = 0"""
+ORACLE["retokenise"] = f"""WITH {PAIRS}, sides AS (SELECT rule_id * 2 AS vec_id, ri AS rec FROM pairs UNION ALL SELECT rule_id * 2 + 1, rj FROM pairs)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(idx // 2 AS BIGINT) AS field,
+  max(CASE WHEN idx % 2 = 0 THEN text END) AS key, max(CASE WHEN idx % 2 = 1 THEN coalesce(text, '"timestamp"') END) AS value
+FROM sides JOIN items USING (rec) GROUP BY vec_id, field"""
 
 
 # --- files and provenance ----------------------------------------------------------------------------------
@@ -582,5 +592,5 @@ UNION ALL SELECT doc_id, 'data facts/PII/sanitation', 'enum', level FROM d WHERE
 UNION ALL SELECT doc_id, 'data facts/rights/owner/contact email', 'email', mail FROM d WHERE NOT regexp_matches(mail, {_q(P.EMAIL)})
 UNION ALL SELECT doc_id, 'data facts/metrics/size', 'integer', CAST({_NUMBER} AS VARCHAR) FROM d WHERE n_chars % 2 = 0"""
 ORACLE["build_records"] = f"""SELECT 'corpus/' || source || '.log' AS location,
-  'Log data from ' || source || ' system, file: ' || source || '.log' AS description, CAST(sum(n_chars) AS BIGINT) AS size,
+  'Log file of ' || source || ': ' || source || '.log' AS description, CAST(sum(n_chars) AS BIGINT) AS size,
   CAST(sum({_LINES}) AS BIGINT) AS events, 'collection' AS processing_type, 'IP addresses' AS may_contain FROM documents GROUP BY source"""

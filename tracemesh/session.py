@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +46,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tracemesh/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of fewer partitions than there are cores one round of redistribution by a unique-ish ``key``.
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`materialise` that no plan reads any more, such as those of an earlier round."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            table._written_to = None
 
-    For small inputs ahead of costly work per row; a large scan is left as it is.
+
+def spread(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """Redistribute over all cores by a unique ``key``, at any size of the input.
+
+    For narrow rows ahead of costly work per row, as a single file of one row group is one task otherwise.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *([key] if isinstance(key, str) else key))

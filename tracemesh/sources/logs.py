@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemesh.operators.entries import limit_lines
+from tracemesh.session import materialise
 
-BROADCAST_BLOCKS = 300_000  # a path and two numbers each: some 50 MB
+BROADCAST_BLOCKS = 4_000_000  # two numbers each: some 64 MB, the blocks of 500 TB
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
@@ -24,9 +25,10 @@ def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: i
 
     ``across_files`` numbers on from one file to the next, by file name.
 
-    The text is never shuffled.  A first pass counts the lines of each file block; a line's
-    number is its place in its task, less that of the first line of its block, plus
-    the lines of earlier blocks.  The block table is broadcast if it is small, which is checked.
+    A first pass counts the lines of each file block and writes that small table.  A line's number is its
+    place in its task, less that of the first line of its block, plus the lines of earlier blocks.  Blocks are
+    looked up by a 64-bit hash of path and offset, so the table holds two numbers per block; it is broadcast, and the text
+    is not shuffled, up to ``BROADCAST_BLOCKS``.  Beyond that, or if two blocks shared a hash, path and offset are joined.
     """
     lines = _text(spark, path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -34,39 +36,32 @@ def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: i
         F.monotonically_increasing_id().alias("_place"),
         _without_cr("value").alias("text"),
     )
-    blocks = lines.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start"))
+    key = F.xxhash64("path", "_block").alias("_key")
+    blocks = materialise(lines.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start")), "blocks")
     # One row per file block, so even over all files the window stays small.
     order = Window.orderBy("path", "_block") if across_files else Window.partitionBy("path").orderBy("_block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + 1
-    blocks = blocks.select("path", "_block", shift.alias("_shift")).cache()
-    try:
-        small = blocks.count() <= BROADCAST_BLOCKS
-    finally:
-        blocks.unpersist()
-    keyed = F.broadcast(blocks) if small else blocks
-    numbered = lines.join(keyed, ["path", "_block"]).select(
-        "path", (F.col("_place") + F.col("_shift")).alias("line"), "text"
-    )
-    return limit_lines(numbered, limit, sample)
+    shift = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + 1).alias("_shift")
+    size = blocks.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("different")).first()
+    if size["n"] == size["different"] and size["n"] <= BROADCAST_BLOCKS:
+        numbered = lines.withColumn("_key", key).join(F.broadcast(blocks.select(key, shift)), "_key")
+    else:
+        numbered = lines.join(blocks.select("path", "_block", shift), ["path", "_block"])
+    return limit_lines(numbered.select("path", (F.col("_place") + F.col("_shift")).alias("line"), "text"), limit, sample)
 
 
 def count_events(spark: SparkSession, path: str) -> DataFrame:
     """``(location, size, events)`` per file; Spark does not list empty files."""
     sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    sizes = sizes.select(F.col("path").alias("location"), F.col("length").alias("size"))
+    sizes = sizes.select(F.col("_metadata.file_path").alias("_path"), F.col("path").alias("location"), F.col("length").alias("size"))
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     counts = lines.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("events"))
-    same = F.regexp_replace("location", r"\A[a-z0-9]+:/+", "/") == F.regexp_replace("_path", r"\A[a-z0-9]+:/+", "/")
-    return sizes.join(counts, same, "left").select("location", "size", F.coalesce("events", F.lit(0)).alias("events"))
-
-
-def estimate_lines(spark: SparkSession, path: str, exact_below: int = 100_000_000, sample_lines: int = 100_000) -> int:
-    """The number of lines; above ``exact_below`` bytes estimated from the mean length of the first lines."""
-    sizes = spark.read.format("binaryFile").load(path)
-    size = sizes.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
-    if size <= exact_below:
-        return _text(spark, path).count()
-    head = _text(spark, path).limit(sample_lines)
-    mean = head.agg(F.avg(F.octet_length("value") + 1).alias("m")).first()["m"]
-    return int(size / mean)
+    return sizes.join(counts, "_path", "left").select("location", "size", F.coalesce("events", F.lit(0)).alias("events"))
+
+
+def estimate_lines(spark: SparkSession, path: str) -> int:
+    """The number of lines, counted at any size.
+
+    Lines differ in length within and between files, so a fair estimate would read as much as the count does.
+    """
+    return _text(spark, path).count()
