@@ -264,3 +264,11 @@ def test_identity_summary_and_stats(spark):
         "source": "log", "total_lines_processed": 5, "total_classifications": 2,
     }
     assert stats.frequency_report(tagged, k=2).collect()[0].asDict() == {"type": "IP", "value": "v0", "cnt": 2, "share": 2 / 9 * 100}
+
+
+def test_gap_sessions_keep_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1, 0), (None, 2, 500), (None, 3, 9000), ("u", 4, 0)], "who string, n int, ms int")
+    rows = rows.withColumn("ts", F.timestamp_millis("ms"))
+    found = sessions.gap_sessions(rows, keys=["who"])
+    assert found.columns == ["who", "n", "ms", "ts", "session"]
+    assert {r.n: r.session == r.ts for r in found.collect()} == {1: True, 2: False, 3: True, 4: True}

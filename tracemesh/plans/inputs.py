@@ -115,6 +115,23 @@ def user_entries(spark: SparkSession, sf: str) -> DataFrame:
     return entries.withColumn("node", node_key(F.col("type"), F.col("value")))
 
 
+def day_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Users and hosts of one day: ``u3@2024-01-05`` on ``host-0-4@2024-01-05``, in three separate nets a day.
+
+    Nets begin as several groups that merge as the day goes on.  Every seventh host is not recorded; its
+    users are on a line of their own.
+    """
+    day, user, k = F.date_format("ts", "yyyy-MM-dd"), F.col("user_id"), F.col("k")
+    alone = k % 7 == 0
+    who = F.struct(F.lit("Username").alias("type"), F.when(alone, _text("lone", user % 5, "@", day)).otherwise(_text("u", user % 12, "@", day)).alias("value"))
+    host = F.struct(F.lit("Hostname").alias("type"), _text("host-", user % 3, "-", k % 5, "@", day).alias("value"))
+    return events(spark, sf).select(
+        F.col("event_id").alias("line"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.posexplode(F.when(alone, F.array(who)).otherwise(F.array(who, host))).alias("pos", "e"),
+    ).select("line", F.col("pos").cast("bigint").alias("pos"), "timestamp", "e.type", "e.value")
+
+
 def order_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Parts and suppliers as entries of their order."""
     found = F.array(

@@ -405,6 +405,48 @@ ORACLE["merge_log"] = f"""WITH {GROUPS} SELECT group_id, step, CASE WHEN step =
   CASE WHEN step > 1 THEN dst END AS new_member, line FROM log"""
 ORACLE["formation_graph"] = f"""WITH {GROUPS} SELECT group_id, step - 1 AS from_step, step AS to_step, a_value AS via_a, b_value AS via_b
 FROM log WHERE step > 1"""
+
+# Nets of one day, replayed link by link, all days in lockstep.  A node carries the number of the link that last
+# changed its group, so that number tells the step before, and the last one the group.
+DAYS = f"""RECURSIVE {EV}, seen AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM ev),
+entries AS (SELECT event_id AS line, CAST(0 AS BIGINT) AS pos, timestamp, day, 'Username' AS type,
+    CASE WHEN k % 7 = 0 THEN 'lone' || user_id % 5 ELSE 'u' || user_id % 12 END || '@' || day AS value FROM seen
+  UNION ALL SELECT event_id, 1, timestamp, day, 'Hostname', 'host-' || user_id % 3 || '-' || k % 5 || '@' || day FROM seen WHERE k % 7 <> 0),
+nodes AS (SELECT *, {_key()} AS node FROM entries),
+links AS (SELECT day, a.node AS src, b.node AS dst, min(a.line) AS line FROM nodes a JOIN nodes b USING (line, day) WHERE a.pos = 0 AND b.pos = 1 GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY line) AS rn FROM links),
+ends AS (SELECT DISTINCT day, unnest([src, dst]) AS node FROM links),
+state(step, day, node, comp) AS (
+  SELECT CAST(0 AS BIGINT), day, node, CAST(NULL AS BIGINT) FROM ends
+  UNION ALL
+  SELECT l.rn, s.day, s.node, CASE WHEN a.comp = b.comp THEN s.comp WHEN s.node IN (l.src, l.dst) OR s.comp IN (a.comp, b.comp) THEN l.rn ELSE s.comp END
+  FROM state s JOIN numbered l ON l.day = s.day AND l.rn = s.step + 1 JOIN state a ON a.day = s.day AND a.node = l.src JOIN state b ON b.day = s.day AND b.node = l.dst),
+changes AS (SELECT l.*, a.comp AS ca, b.comp AS cb FROM numbered l JOIN state a ON a.day = l.day AND a.step = l.rn - 1 AND a.node = l.src
+  JOIN state b ON b.day = l.day AND b.step = l.rn - 1 AND b.node = l.dst WHERE a.comp IS DISTINCT FROM b.comp OR a.comp IS NULL),
+final AS (SELECT day, node, comp FROM state WHERE (day, step) IN (SELECT (day, max(rn)) FROM numbered GROUP BY day)),
+numbers AS (SELECT day, comp, dense_rank() OVER (ORDER BY min(line)) AS group_id FROM final JOIN links USING (day) WHERE src = node GROUP BY day, comp),
+members AS (SELECT node, group_id FROM final JOIN numbers USING (day, comp)),
+shown AS (SELECT node, min(value) AS value FROM nodes GROUP BY node),
+log AS (SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY c.line) AS step, c.*, x.value AS a_value, y.value AS b_value,
+  CASE WHEN ca IS NULL AND cb IS NULL THEN 'FORMED' WHEN ca IS NULL OR cb IS NULL THEN 'ADDED' ELSE 'MERGED' END AS event,
+  CASE WHEN ca IS NULL AND cb IS NOT NULL THEN src WHEN cb IS NULL AND ca IS NOT NULL THEN dst END AS new_member
+  FROM changes c JOIN members ON node = src JOIN shown x ON x.node = src JOIN shown y ON y.node = dst)"""
+ORACLE["person_groups_days"] = f"WITH {DAYS} SELECT node, group_id FROM members"
+ORACLE["merge_log_days"] = f"WITH {DAYS} SELECT group_id, step, event, a_value, b_value, new_member, line FROM log"
+ORACLE["formation_nodes_days"] = ORACLE["merge_log_days"]
+ORACLE["formation_graph_days"] = f"""WITH {DAYS} SELECT l.group_id, p.step AS from_step, l.step AS to_step, l.a_value AS via_a, l.b_value AS via_b
+FROM log l JOIN log p ON p.day = l.day AND p.rn IN (l.ca, l.cb)"""
+ORACLE["singleton_groups_days"] = f"""WITH {DAYS}, alone AS (SELECT DISTINCT node FROM nodes WHERE node NOT IN (SELECT node FROM members))
+SELECT node, row_number() OVER (ORDER BY node) + (SELECT max(group_id) FROM members) AS group_id FROM alone"""
+ORACLE["tuple_provenance_days"] = f"""WITH {DAYS}, pairs AS (SELECT DISTINCT f.group_id, f.a_value, l.b_value FROM log l JOIN log f USING (group_id) WHERE f.step = 1),
+own AS (SELECT value, arg_min((line, timestamp, type), (line, pos)) AS e FROM nodes GROUP BY value),
+together AS (SELECT p.*, min(x.line) AS line FROM pairs p LEFT JOIN (SELECT a.line, a.value AS av, b.value AS bv FROM nodes a JOIN nodes b USING (line)) x
+  ON x.av = a_value AND x.bv = b_value GROUP BY ALL),
+sides AS (SELECT group_id, a_value, b_value, line, CAST(0 AS BIGINT) AS side, a_value AS value, b_value AS other FROM together
+  UNION ALL SELECT group_id, a_value, b_value, line, 1, b_value, a_value FROM together)
+SELECT s.group_id, a_value, b_value, side, s.value, coalesce(s.line, o.e[1]) AS line, coalesce(n.timestamp, o.e[2]) AS timestamp, coalesce(n.type, o.e[3]) AS type,
+  coalesce(s.line, CASE WHEN o.e[1] = t.e[1] THEN o.e[1] END) AS tuple_line
+FROM sides s JOIN own o ON o.value = s.value JOIN own t ON t.value = s.other LEFT JOIN nodes n ON n.line = s.line AND n.value = s.value"""
 ORACLE["step_entries"] = f"""WITH {GROUPS}, f AS (SELECT value, min((line, pos)) AS p FROM grouped WHERE group_id = 1 GROUP BY value)
 SELECT g.value AS shown, line, timestamp, type, g.value FROM grouped g JOIN f ON f.value = g.value AND f.p = (g.line, g.pos)"""
 ORACLE["tuple_provenance"] = f"""WITH {GROUPS}, t AS (SELECT log.*, timestamp FROM log JOIN nodes USING (line) WHERE pos = 0)

@@ -321,6 +321,51 @@ def formation_graph_all_types(spark, sf):
     return edges
 
 
+def _days(spark, sf):
+    """Groups that merge, by the day."""
+    routed = people.route_entries(I.day_entries(spark, sf))
+    groups = people.person_groups(people.line_links(routed))
+    return routed, groups, people.merge_log(groups, people.node_stats(routed, YEAR))
+
+
+@query
+def person_groups_days(spark, sf):
+    return _days(spark, sf)[1].members
+
+
+@query
+def merge_log_days(spark, sf):
+    return _days(spark, sf)[2].select("group_id", "step", "event", "a_value", "b_value", "new_member", "line")
+
+
+@query
+def formation_nodes_days(spark, sf):
+    _, groups, log = _days(spark, sf)
+    nodes, _ = formation.formation_graph(groups, log)
+    return nodes.select("group_id", "step", "event", "a_value", "b_value", "new_member", "line")
+
+
+@query
+def formation_graph_days(spark, sf):
+    _, groups, log = _days(spark, sf)
+    return formation.formation_graph(groups, log)[1]
+
+
+@query
+def singleton_groups_days(spark, sf):
+    routed, groups, _ = _days(spark, sf)
+    return people.singleton_groups(routed, groups)
+
+
+@query
+def tuple_provenance_days(spark, sf):
+    """Where the first and every later value of a group come from; many of them never share a line."""
+    routed, groups, log = _days(spark, sf)
+    first = log.filter("step = 1").select("group_id", "a_value")
+    found = formation.tuple_provenance(log.select("group_id", "b_value").join(first, "group_id"), people.group_entries(routed, groups))
+    return found.select("group_id", "a_value", "b_value", F.col("side").cast("bigint").alias("side"), "value", "line", "timestamp", "type", "tuple_line")
+
+
 @query
 def step_entries(spark, sf):
     """The members of the first group after its last step, with their first entries."""
