@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemesh.operators import cover, formation, identities, order, people
 from tracemesh.operators.forest import spanning_forest
+from tracemesh.session import materialise, shared_folder
 
 ENTRY = "line bigint, pos bigint, timestamp string, type string, value string"
 
@@ -272,3 +273,18 @@ def test_routes_and_stats(spark):
     assert [r.value for r in people.exclusion_catalogue(routed, stop).collect()] == ["login", "out", "stop", "view"]
     technical = people.technical_entries(routed, spark.createDataFrame([("IPv4_1_1_1_1",)], "node string"))
     assert rows(technical.select("line", "value", "times")) == [(1, "login", 1), (2, "out", 1), (2, "view", 1)]
+
+
+def test_rounds_leave_only_live_tables(spark):
+    def tables(name):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/tracemesh/{spark.sparkContext.applicationId}")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        return sum(f.getPath().getName().startswith(f"{name}-") for f in files)
+
+    materialise(spark.range(1), "edges")  # the folder exists
+    before = tables("edges")
+    chain = spark.createDataFrame([(str(k), str(k + 1), (k * 7919) % 64) for k in range(64)], "src string, dst string, line int")
+    found = spanning_forest(chain, ["line"])
+    assert found.labels.select("root").distinct().count() == 1 and found.edges.count() == 64
+    assert len(found.rounds) > 2
+    assert tables("edges") - before == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemesh.session import materialise
+from tracemesh.session import discard, materialise
 
 
 def line_cover(entries: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def line_cover(entries: DataFrame) -> DataFrame:
         )
         taken = materialise(taken, "taken")
         shown = candidates.join(taken, ["group_id", "line"], "left_semi").select("group_id", "value").distinct()
+        before = left
         left = materialise(left.join(shown, ["group_id", "value"], "left_anti"), "cover")
+        discard(before, candidates)
         chosen = taken if chosen is None else chosen.unionByName(taken)
     return chosen
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemesh.session import materialise
+from tracemesh.session import discard, materialise
 
 
 @dataclass
@@ -32,7 +32,8 @@ class Forest:
 
 
 def to_roots(hooks: DataFrame) -> DataFrame:
-    """Follow ``c -> parent`` pointers to the end by repeatedly doubling their reach."""
+    """Follow ``c -> parent`` pointers to the end by repeatedly doubling their reach; a written ``hooks`` is used up."""
+    before = hooks
     while True:
         up = hooks.select(F.col("c").alias("parent"), F.col("parent").alias("_next"))
         moved = hooks.join(up, "parent", "left").withColumn("_next", F.coalesce("_next", "parent"))
@@ -40,6 +41,8 @@ def to_roots(hooks: DataFrame) -> DataFrame:
             moved.withColumn("_moved", F.col("_next") != F.col("parent")).drop("parent").withColumnRenamed("_next", "parent"),
             "pointers",
         )
+        discard(before)
+        before = moved
         hooks = moved.drop("_moved").select("c", "parent", *[n for n in moved.columns if n not in ("c", "parent", "_moved")])
         if moved.filter("_moved").isEmpty():
             return hooks
@@ -62,7 +65,7 @@ def spanning_forest(edges: DataFrame, order: Sequence[str]) -> Forest:
         return materialise(ends.groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
 
     alive = lightest(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), weight))
-    empty = alive.select("w.*").withColumn("level", F.lit(0)).limit(0)
+    empty = edges.sparkSession.createDataFrame([], alive.select("w.*").schema).withColumn("level", F.lit(0))
     rounds, picked = [], []
     while not alive.isEmpty():
         both_ways = F.explode(
@@ -82,9 +85,11 @@ def spanning_forest(edges: DataFrame, order: Sequence[str]) -> Forest:
         picked.append(hooks.select("pick.*").distinct().withColumn("level", F.lit(len(rounds))))
         rounds.append(hooks)
         target = hooks.select("c", "parent")
+        before = alive
         alive = lightest(
             alive.join(target.toDF("a", "_a"), "a").join(target.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "w")
         )
+        discard(before)
     labels = nodes.withColumn("root", F.col("node"))
     for hooks in rounds:
         target = hooks.select(F.col("c").alias("root"), F.col("parent").alias("_root"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemesh.operators.order import join_counted, number_rows
-from tracemesh.session import materialise
+from tracemesh.session import discard, materialise
 
 # --- fixed values -----------------------------------------------------------
 BASE_TOKEN = 1000
@@ -158,7 +158,9 @@ def _partners(buckets: DataFrame) -> DataFrame:
         F.min(F.when(other_y, me)).alias("by"),
         F.min(F.when(other_x & other_y, F.col("i"))).alias("bxy"),
     )
+    before = rows
     rows = materialise(rows.join(second, "key"), "bucket-second")
+    discard(before)
     third = rows.groupBy("key").agg(
         F.min(F.when(other_x & (F.col("y") != F.col("bx.y")), F.col("i"))).alias("cx"),
         F.min(F.when(other_y & (F.col("x") != F.col("by.x")), F.col("i"))).alias("cy"),
@@ -214,7 +216,9 @@ def mine_rules(vectors: DataFrame) -> Rules:
         ready = turn.filter("j is not null")
         made.append(ready)
         leaving = rows.join(ready.select("key"), "key", "left_semi").select("i").unionByName(turn.filter("j is null").select("i"))
+        before = still_open
         still_open = materialise(rows.select("i", "key", "x", "y").join(leaving.distinct(), "i", "left_anti"), "open")
+        discard(before, rows)
 
     rules = buckets.limit(0).select("i", F.col("i").alias("j"), "key")
     for part in made:
