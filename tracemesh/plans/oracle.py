@@ -157,6 +157,9 @@ for _name, _test in TESTS.items():
     ORACLE[f"is_{_name}"] = f"WITH {VALUES} SELECT value FROM vals WHERE {_test}"
 _ANY = " OR ".join(TESTS.values())
 ORACLE["is_any_match"] = f"WITH {VALUES} SELECT value FROM vals WHERE value <> '' AND ({_ANY})"
+_NAMED = ", ".join(f"CASE WHEN {TESTS[name]} THEN '{name}' END" for name in sorted(TESTS))
+ORACLE["matcher"] = f"""WITH {VALUES}, m AS (SELECT value, list_filter([{_NAMED}], lambda x: x IS NOT NULL) AS n FROM vals)
+SELECT value, array_to_string(n, ',') AS names FROM m WHERE len(n) > 0"""
 ORACLE["is_timestamp_fragment"] = f"WITH {VALUES} SELECT value FROM vals WHERE {_fragment('value')}"
 
 
@@ -225,12 +228,12 @@ ORACLE["scan_findings_stats"] = (
     f"WITH {TEXT_LINES}, f AS ({_tagged(_NO_URL, 'text_lines', 'src, id, line', 'category')}) {_share('f')}"
 )
 _RANKED = " UNION ALL ".join(
-    f"SELECT line, {rank} AS r, generate_subscripts(l, 1) AS n, '{label}' AS category, unnest(l) AS value"
-    f" FROM (SELECT line, {LISTS[key]} AS l FROM event_log)"
+    f"SELECT src, id, line, {rank} AS r, generate_subscripts(l, 1) AS n, '{label}' AS category, unnest(l) AS value"
+    f" FROM (SELECT src, id, line, {LISTS[key]} AS l FROM text_lines)"
     for rank, (label, key) in enumerate(_FINDING_KINDS.items())
 )
-ORACLE["findings_sample"] = f"""WITH {EVENT_LOG}, f AS ({_RANKED})
-SELECT line, category, value FROM (SELECT * FROM f ORDER BY line, r, n LIMIT 25)"""
+ORACLE["findings_sample"] = f"""WITH {TEXT_LINES}, f AS ({_RANKED})
+SELECT src, id, line, category, value FROM (SELECT * FROM f ORDER BY src, id, line, r, n LIMIT 25)"""
 ORACLE["limit_and_sample"] = f"WITH {TEXT_LINES} SELECT src, id, line, length(text) AS chars FROM text_lines WHERE line <= 20 AND line % 2 = 0"
 
 
@@ -347,7 +350,8 @@ ORACLE["session_collect"] = f"""WITH {_sessions(120_000)} SELECT {_MICROS.format
 _SESSION_ROWS = f"""WITH {_sessions(300_000)}"""
 ORACLE["read_idrows"] = f"""{_SESSION_ROWS} SELECT {_MICROS.format('min(ts)')} AS start, {_MICROS.format('max(ts)')} AS "end",
   count(*) AS rows FROM sessions GROUP BY n"""
-ORACLE["session_files"] = f"{_SESSION_ROWS} SELECT count(*) AS rows, min(event_id) AS first_row FROM sessions GROUP BY n"
+ORACLE["session_files"] = f"""{_SESSION_ROWS} SELECT count(*) AS rows, count(*) AS listed, min(event_id) AS first_row,
+  count(DISTINCT event_type) AS types FROM sessions GROUP BY n"""
 
 
 # --- nodes and groups --------------------------------------------------------------------------
@@ -385,7 +389,7 @@ SELECT *, CASE WHEN route = 'node' THEN {_key()} END AS node FROM r"""
 ORACLE["time_range"] = f"""WITH {ENTRIES} SELECT line, pos, timestamp FROM entries
 WHERE CAST(timestamp AS TIMESTAMP) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 12:00:00'"""
 _CAPTIONS = " ".join(f"WHEN '{name}' THEN '{text}'" for name, text in CAPTION.items())
-ORACLE["node_labels"] = f"""WITH {EVENT_LOG}, e AS ({_tagged(_ENTRY_KINDS, 'event_log', 'line', 'type')}),
+ORACLE["node_labels"] = f"""WITH {TEXT_LINES}, e AS ({_tagged(_ENTRY_KINDS, 'text_lines', 'line', 'type')}),
 d AS (SELECT DISTINCT type, value, CASE type WHEN 'DNSName' THEN 'DNSname' ELSE type END AS t FROM e)
 SELECT type, value, regexp_replace(value, '[^A-Za-z0-9]+', '_', 'g') AS clean,
   {_key('t')} || '([' || CASE t {_CAPTIONS} ELSE t END || '<br/>'
@@ -633,6 +637,9 @@ UNION ALL SELECT doc_id, 'data facts/storage/retention/removal policy', 'enum',
 UNION ALL SELECT doc_id, 'data facts/PII/sanitation', 'enum', level FROM d WHERE level NOT IN {_in(SANITATION_LEVELS)}
 UNION ALL SELECT doc_id, 'data facts/rights/owner/contact email', 'email', mail FROM d WHERE NOT regexp_matches(mail, {_q(P.EMAIL)})
 UNION ALL SELECT doc_id, 'data facts/metrics/size', 'integer', CAST({_NUMBER} AS VARCHAR) FROM d WHERE n_chars % 2 = 0"""
+ORACLE["build_records_of_files"] = f"""SELECT lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size, CAST(sum({_LINES}) AS BIGINT) AS events
+FROM documents GROUP BY lang"""
+ORACLE["read_records"] = "SELECT source AS location, CAST(sum(n_chars) AS BIGINT) AS size, count(*) AS events FROM documents GROUP BY source"
 ORACLE["build_records"] = f"""SELECT 'corpus/' || source || '.log' AS location,
   'Log file of ' || source || ': ' || source || '.log' AS description, CAST(sum(n_chars) AS BIGINT) AS size,
   CAST(sum({_LINES}) AS BIGINT) AS events, 'collection' AS processing_type, 'IP addresses' AS may_contain FROM documents GROUP BY source"""

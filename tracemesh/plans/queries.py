@@ -55,6 +55,15 @@ def _predicate(test) -> Query:
 
 for _name, _test in T.MATCHERS.items():
     QUERIES[f"is_{_name}"] = _predicate(_test)
+
+
+@query
+def matcher(spark, sf):
+    """Every value with the names of the predicates that accept it, each looked up by its name."""
+    names = F.array_compact(F.array(*[F.when(T.matcher(name)(F.col("value")), F.lit(name)) for name in sorted(T.MATCHERS)]))
+    return I.values(spark, sf).select("value", names.alias("n")).filter(F.size("n") > 0).select("value", _joined("n").alias("names"))
+
+
 QUERIES["is_any_match"] = _predicate(T.is_any_match)
 QUERIES["is_timestamp_fragment"] = _predicate(T.is_timestamp_fragment)
 
@@ -113,8 +122,8 @@ def scan_findings_stats(spark, sf):
 
 @query
 def findings_sample(spark, sf):
-    found = entries.scan_findings(I.event_log(spark, sf))
-    return stats.findings_sample(found, ["line", "pos"]).select("line", "category", "value")
+    found = entries.scan_findings(I.text_lines(spark, sf))
+    return stats.findings_sample(found, ["src", "id", "line", "pos"]).select("src", "id", "line", "category", "value")
 
 
 @query
@@ -261,7 +270,7 @@ def time_range(spark, sf):
 
 @query
 def node_labels(spark, sf):
-    kept = entries.extract_entries(I.event_log(spark, sf)).select("type", "value").distinct()
+    kept = entries.extract_entries(I.text_lines(spark, sf)).select("type", "value").distinct()
     type_ = T.normalise_type(F.col("type"))
     return kept.select(
         "type", "value", T.clean_id(F.col("value")).alias("clean"), T.node_label(type_, F.col("value")).alias("label"),
@@ -654,9 +663,10 @@ def read_idrows(spark, sf):
 def session_files(spark, sf):
     path = I.scratch(spark, "sessions")
     sources.write_sessions(sessions.gap_sessions(I.event_rows(spark, sf), gap_ms=300_000), path)
-    return spark.read.json(f"{path}/rows").select("row_number", "session").groupBy("session").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("row_number").alias("first_row")
-    ).select("rows", "first_row")
+    rows = spark.read.json(f"{path}/rows").groupBy("session").agg(F.count(F.lit(1)).alias("listed"), F.min("row_number").alias("first_row"))
+    types = spark.read.json(f"{path}/identities").groupBy("session").agg(F.count(F.lit(1)).alias("types"))
+    ranges = spark.read.json(f"{path}/sessions").select("session", "rows")
+    return ranges.join(rows, "session").join(types, "session").select("rows", "listed", "first_row", "types")
 
 
 @query
@@ -692,6 +702,31 @@ def validate_records(spark, sf):
     return provenance.validate_records(I.document_records(spark, sf))
 
 
+def _record_facts(record: DataFrame) -> DataFrame:
+    part = lambda name: F.get_json_object("json", f"$['data facts'].{name}")
+    return record.select(
+        part("storage.location").alias("location"), part("metrics.size").cast("bigint").alias("size"), part("metrics['event count']").cast("bigint").alias("events")
+    )
+
+
+@query
+def build_records_of_files(spark, sf):
+    """Records of the files that the documents were written to; sizes and lines add up per language."""
+    path = _written_documents(spark, sf)
+    found = _record_facts(provenance.build_records(spark, path, "collector", "2024-01-01T00:00:00Z")).filter(F.col("location").contains("lang="))
+    return found.groupBy(_language("location").alias("lang")).agg(F.sum("size").alias("size"), F.sum("events").alias("events"))
+
+
+@query
+def read_records(spark, sf):
+    """A record per source, each in a file of its own, read back."""
+    facts = I.load(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("size"), F.count(F.lit(1)).alias("events"))
+    records = provenance.make_records(facts.withColumn("location", F.col("source")), "collector", "2024-01-01T00:00:00Z", F.col("source"))
+    path = I.scratch(spark, "book")
+    records.select(F.col("location").alias("source"), F.col("json").alias("value")).write.partitionBy("source").text(path)
+    return _record_facts(sources.read_records(spark, f"{path}/source=*"))
+
+
 @query
 def build_records(spark, sf):
     """A collection record per document source, written, read back and checked."""
