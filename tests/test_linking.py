@@ -230,6 +230,18 @@ def test_line_cover(spark):
     }
 
 
+def test_line_cover_of_a_chain(spark, monkeypatch):
+    """Each line shares a value with the next; the rounds must not grow with the number of lines."""
+    entries = [(line, pos, "t", "IP", f"v{line + pos}") for line in range(200) for pos in range(2)]
+    data = [(0, *e) for e in entries] + [(None, 1, 0, "t", "IP", "x"), (1, 1, 0, "t", "IP", None)]
+    written = []
+    real = cover.materialise
+    monkeypatch.setattr(cover, "materialise", lambda df, name: written.append(name) or real(df, name))
+    got = cover.line_cover(spark.createDataFrame(data, "group_id int, " + ENTRY))
+    assert {r.line for r in got.collect()} == brute_cover(entries)
+    assert len(written) < 30 and written.count("taken") <= 3
+
+
 def test_tuple_provenance(spark):
     entries = [
         (1, 1, 0, "t1", "IP", "a"), (1, 1, 1, "t1", "IP", "c"), (1, 2, 0, "t2", "IP", "a"), (1, 2, 1, "t2", "URL", "http://b?x"),

@@ -11,26 +11,20 @@ from tracemesh.session import discard, materialise
 def line_cover(entries: DataFrame) -> DataFrame:
     """Greedy cover: always the line with the most values not yet shown, the first such line on ties.
 
-    Returns ``(group_id, line)``.  All groups advance together, and many lines at a time: among
-    the lines with the most new values, those that are the first candidate for each of
-    their values are taken by the one-by-one rule too, whatever it does with the others.
+    Returns ``(group_id, line)``.  All groups advance together, and many lines at a time: of
+    the lines with the most new values, one is taken by the one-by-one rule if no earlier one that it shares a value with is.
+    Lines with no such blocker are taken at once, and those with a single blocker, which may have a single one
+    itself, are decided together by the parity of their distance; a line with several waits for another round.
+    Entries without a group, line or value are left out.
     """
-    left = materialise(entries.select("group_id", "line", "value").distinct(), "cover")
+    left = materialise(entries.select("group_id", "line", "value").dropna().distinct(), "cover")
     chosen: DataFrame | None = None
     while chosen is None or not left.isEmpty():
         gains = left.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("gain"))
         best = gains.groupBy("group_id").agg(F.max("gain").alias("gain"))
         candidates = left.join(gains.join(best, ["group_id", "gain"]).select("group_id", "line"), ["group_id", "line"])
         candidates = materialise(candidates.select("group_id", "line", "value"), "candidates")
-        first = candidates.groupBy("group_id", "value").agg(F.min("line").alias("first"))
-        taken = (
-            candidates.join(first, ["group_id", "value"])
-            .groupBy("group_id", "line")
-            .agg(F.bool_and(F.col("line") == F.col("first")).alias("free"))
-            .filter("free")
-            .select("group_id", "line")
-        )
-        taken = materialise(taken, "taken")
+        taken = _independent(candidates)
         shown = candidates.join(taken, ["group_id", "line"], "left_semi").select("group_id", "value").distinct()
         before = left
         left = materialise(left.join(shown, ["group_id", "value"], "left_anti"), "cover")
@@ -39,6 +33,37 @@ def line_cover(entries: DataFrame) -> DataFrame:
     return chosen
 
 
+def _independent(candidates: DataFrame) -> DataFrame:
+    """``(group_id, line)`` of the candidates that are certain to be taken, the first of each group among them.
+
+    The first and second line of each value tell whether a line has no, one or more earlier lines beside it.
+    """
+    value = ["group_id", "value"]
+    first = candidates.groupBy(*value).agg(F.min("line").alias("first"))
+    ranked = materialise(candidates.join(first, value), "first-lines")
+    second = ranked.groupBy(*value).agg(F.min(F.when(F.col("line") > F.col("first"), F.col("line"))).alias("second"))
+    behind = F.when(F.col("line") > F.col("first"), F.col("first"))
+    lines = ranked.join(second, value).groupBy("group_id", "line").agg(
+        F.coalesce(F.bool_or(F.col("line") > F.col("second")), F.lit(False)).alias("third"), F.min(behind).alias("low"), F.max(behind).alias("high")
+    )
+    single = lines.filter("NOT third AND low IS NOT DISTINCT FROM high")
+    state = materialise(
+        single.select("group_id", "line", F.coalesce("low", "line").alias("up"), F.col("low").isNotNull().alias("odd"), F.col("low").isNull().alias("free")), "blockers"
+    )
+    discard(ranked)
+    while not state.filter("up <> line AND NOT free").isEmpty():
+        above = state.select("group_id", F.col("line").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"), F.col("free").alias("_free"))
+        stuck = F.col("_up").isNull()  # behind a line with several blockers
+        moved = state.join(above, ["group_id", "up"], "left").filter(~stuck).select(
+            "group_id", "line", F.col("_up").alias("up"), (F.col("odd") != F.col("_odd")).alias("odd"), F.col("_free").alias("free")
+        )
+        before, state = state, materialise(moved, "blockers")
+        discard(before)
+    taken = materialise(state.filter("NOT odd").select("group_id", "line"), "taken")
+    discard(state)
+    return taken
+
+
 def cover_values(entries: DataFrame, cover: DataFrame) -> DataFrame:
     """The values of each chosen line, one row each, with the first timestamp of the line."""
     kept = entries.join(cover, ["group_id", "line"], "left_semi")

@@ -442,6 +442,22 @@ ORACLE["formation_graph_days"] = f"""WITH {DAYS} SELECT l.group_id, p.step AS fr
 FROM log l JOIN log p ON p.day = l.day AND p.rn IN (l.ca, l.cb)"""
 ORACLE["singleton_groups_days"] = f"""WITH {DAYS}, alone AS (SELECT DISTINCT node FROM nodes WHERE node NOT IN (SELECT node FROM members))
 SELECT node, row_number() OVER (ORDER BY node) + (SELECT max(group_id) FROM members) AS group_id FROM alone"""
+def _cover(entries: str) -> str:
+    """The greedy cover line by line, all groups in lockstep, and the values of the chosen lines."""
+    return f"""on_lines AS (SELECT group_id, line, list_distinct(list(value)) AS vals FROM {entries} GROUP BY ALL),
+cover(group_id, missing, line) AS (
+  SELECT group_id, list_distinct(list(value)), CAST(NULL AS BIGINT) FROM {entries} GROUP BY group_id
+  UNION ALL
+  SELECT group_id, list_filter(missing, lambda x: NOT list_contains(best.vals, x)), best.line FROM (
+    SELECT c.group_id, any_value(c.missing) AS missing, arg_max({{'line': l.line, 'vals': l.vals}}, (len(list_intersect(l.vals, c.missing)), -l.line)) AS best
+    FROM cover c JOIN on_lines l ON l.group_id = c.group_id WHERE len(c.missing) > 0 GROUP BY c.group_id))
+SELECT group_id, line, value, any_value(first) AS timestamp
+FROM (SELECT *, arg_min(timestamp, pos) OVER (PARTITION BY group_id, line) AS first FROM {entries}) SEMI JOIN cover USING (group_id, line)
+GROUP BY group_id, line, value"""
+
+
+ORACLE["line_cover"] = f"WITH RECURSIVE {ENTRIES}, {_cover('entries')}"
+ORACLE["line_cover_days"] = f"WITH {DAYS}, grouped AS (SELECT * FROM nodes JOIN members USING (node)), {_cover('grouped')}"
 ORACLE["tuple_provenance_days"] = f"""WITH {DAYS}, pairs AS (SELECT DISTINCT f.group_id, f.a_value, l.b_value FROM log l JOIN log f USING (group_id) WHERE f.step = 1),
 own AS (SELECT value, arg_min((line, timestamp, type), (line, pos)) AS e FROM nodes GROUP BY value),
 together AS (SELECT p.*, min(x.line) AS line FROM pairs p LEFT JOIN (SELECT a.line, a.value AS av, b.value AS bv FROM nodes a JOIN nodes b USING (line)) x

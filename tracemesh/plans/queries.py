@@ -449,6 +449,14 @@ def line_cover(spark, sf):
     return cover.cover_values(grouped, cover.line_cover(grouped))
 
 
+@query
+def line_cover_days(spark, sf):
+    """The cover of groups that merge, by the day."""
+    routed, groups, _ = _days(spark, sf)
+    grouped = people.group_entries(routed, groups)
+    return cover.cover_values(grouped, cover.line_cover(grouped))
+
+
 # --- activity, search -------------------------------------------------------------------
 
 
