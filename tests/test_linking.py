@@ -239,7 +239,7 @@ def test_line_cover_of_a_chain(spark, monkeypatch):
     monkeypatch.setattr(cover, "materialise", lambda df, name: written.append(name) or real(df, name))
     got = cover.line_cover(spark.createDataFrame(data, "group_id int, " + ENTRY))
     assert {r.line for r in got.collect()} == brute_cover(entries)
-    assert len(written) < 30 and written.count("taken") <= 3
+    assert written.count("candidates") <= 3 and len(written) < 30
 
 
 def test_tuple_provenance(spark):

@@ -130,6 +130,19 @@ def test_counts_of_odd_paths_and_mixed_line_lengths(spark, tmp_path):
     assert sources.read_log(spark, str(tmp_path)).groupBy("path").count().count() == 4
 
 
+def test_lines_of_unknown_blocks_are_an_error(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(2000)))
+    lines = sources.read_log(spark, str(tmp_path))
+    assert lines.count() == 2000
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        with pytest.raises(Exception, match="between two passes"):
+            lines.select("line", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_read_log_does_not_shuffle_the_text(spark, tmp_path):
     for k in range(20):
         (tmp_path / f"{k}.log").write_text("line\n" * (k + 1))

@@ -36,32 +36,26 @@ def line_cover(entries: DataFrame) -> DataFrame:
 def _independent(candidates: DataFrame) -> DataFrame:
     """``(group_id, line)`` of the candidates that are certain to be taken, the first of each group among them.
 
-    The first and second line of each value tell whether a line has no, one or more earlier lines beside it.
+    A line has a single blocker if it is second of two lines in some values, always behind the same line, and first in the others.
     """
     value = ["group_id", "value"]
-    first = candidates.groupBy(*value).agg(F.min("line").alias("first"))
-    ranked = materialise(candidates.join(first, value), "first-lines")
-    second = ranked.groupBy(*value).agg(F.min(F.when(F.col("line") > F.col("first"), F.col("line"))).alias("second"))
-    behind = F.when(F.col("line") > F.col("first"), F.col("first"))
-    lines = ranked.join(second, value).groupBy("group_id", "line").agg(
-        F.coalesce(F.bool_or(F.col("line") > F.col("second")), F.lit(False)).alias("third"), F.min(behind).alias("low"), F.max(behind).alias("high")
+    first = candidates.groupBy(*value).agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n"))
+    later = F.col("line") > F.col("first")
+    lines = candidates.join(first, value).groupBy("group_id", "line").agg(
+        F.bool_or(later & (F.col("n") > 2)).alias("several"), F.min(F.when(later, F.col("first"))).alias("low"), F.max(F.when(later, F.col("first"))).alias("high")
     )
-    single = lines.filter("NOT third AND low IS NOT DISTINCT FROM high")
-    state = materialise(
-        single.select("group_id", "line", F.coalesce("low", "line").alias("up"), F.col("low").isNotNull().alias("odd"), F.col("low").isNull().alias("free")), "blockers"
-    )
-    discard(ranked)
-    while not state.filter("up <> line AND NOT free").isEmpty():
+    single = lines.filter("NOT several AND low IS NOT DISTINCT FROM high")
+    state = single.select("group_id", "line", F.coalesce("low", "line").alias("up"), F.col("low").isNotNull().alias("odd"), F.col("low").isNull().alias("free"))
+    state = materialise(state, "taken")
+    while not state.filter("NOT free").isEmpty():
         above = state.select("group_id", F.col("line").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"), F.col("free").alias("_free"))
-        stuck = F.col("_up").isNull()  # behind a line with several blockers
-        moved = state.join(above, ["group_id", "up"], "left").filter(~stuck).select(
+        # What is behind a line with several blockers meets no row and is left out.
+        moved = state.join(above, ["group_id", "up"]).select(
             "group_id", "line", F.col("_up").alias("up"), (F.col("odd") != F.col("_odd")).alias("odd"), F.col("_free").alias("free")
         )
-        before, state = state, materialise(moved, "blockers")
+        before, state = state, materialise(moved, "taken")
         discard(before)
-    taken = materialise(state.filter("NOT odd").select("group_id", "line"), "taken")
-    discard(state)
-    return taken
+    return state.filter("NOT odd").select("group_id", "line")
 
 
 def cover_values(entries: DataFrame, cover: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tracemesh.operators.entries import limit_lines
 from tracemesh.session import materialise
 
-BROADCAST_BLOCKS = 4_000_000  # two numbers each: some 64 MB, the blocks of 500 TB
+BROADCAST_BLOCKS = 4_000_000  # three numbers each: some 96 MB, the blocks of 500 TB
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +20,16 @@ def _without_cr(value: str):
     return F.regexp_replace(value, r"\r\z", "")
 
 
+def _same_blocks(spark: SparkSession) -> None:
+    """Fix how files are cut into blocks, so that a later scan cuts them alike though executors come and go.
+
+    Unless ``spark.sql.files.minPartitionNum`` is set, the cut depends on the number of cores at the time of the scan.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, spark.sparkContext.defaultParallelism)
+
+
 def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: int = 1, across_files: bool = False) -> DataFrame:
     """``(path, line, text)`` with 1-based line numbers per file, for local paths and object stores alike.
 
@@ -27,9 +37,13 @@ def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: i
 
     A first pass counts the lines of each file block and writes that small table.  A line's number is its
     place in its task, less that of the first line of its block, plus the lines of earlier blocks.  Blocks are
-    looked up by a 64-bit hash of path and offset, so the table holds two numbers per block; it is broadcast, and the text
+    looked up by a 64-bit hash of path and offset, so the table holds three numbers per block; it is broadcast, and the text
     is not shuffled, up to ``BROADCAST_BLOCKS``.  Beyond that, or if two blocks shared a hash, path and offset are joined.
+
+    Both passes must cut the files into the same blocks: ``spark.sql.files.minPartitionNum`` is set in the session if it is
+    not, and a line whose block the first pass has not seen, in the same task, is an error, never left out.
     """
+    _same_blocks(spark)
     lines = _text(spark, path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -42,12 +56,15 @@ def read_log(spark: SparkSession, path: str, limit: int | None = None, sample: i
     order = Window.orderBy("path", "_block") if across_files else Window.partitionBy("path").orderBy("_block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     shift = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + 1).alias("_shift")
+    task = lambda place: F.shiftright(place, 33)
     size = blocks.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("different")).first()
     if size["n"] == size["different"] and size["n"] <= BROADCAST_BLOCKS:
-        numbered = lines.withColumn("_key", key).join(F.broadcast(blocks.select(key, shift)), "_key")
+        numbered = lines.withColumn("_key", key).join(F.broadcast(blocks.select(key, shift, "_start")), "_key", "left")
     else:
-        numbered = lines.join(blocks.select("path", "_block", shift), ["path", "_block"])
-    return limit_lines(numbered.select("path", (F.col("_place") + F.col("_shift")).alias("line"), "text"), limit, sample)
+        numbered = lines.join(blocks.select("path", "_block", shift, "_start"), ["path", "_block"], "left")
+    known = task(F.col("_place")) == task(F.col("_start"))
+    line = F.when(known, F.col("_place") + F.col("_shift")).otherwise(F.raise_error(F.lit("the files changed, or were cut differently, between two passes")).cast("bigint"))
+    return limit_lines(numbered.select("path", line.alias("line"), "text"), limit, sample)
 
 
 def count_events(spark: SparkSession, path: str) -> DataFrame:
