@@ -110,9 +110,8 @@ def event_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """User and address entries with the user as the group, for the reports on given groups."""
-    entries = event_entries(spark, sf).filter(F.col("type").isin("Username", "IP"))
-    return entries.withColumn("node", node_key(F.col("type"), F.col("value")))
+    """All entries with the user as the group, for the reports on given groups."""
+    return event_entries(spark, sf).withColumn("node", node_key(F.col("type"), F.col("value")))
 
 
 def day_entries(spark: SparkSession, sf: str) -> DataFrame:

@@ -297,11 +297,15 @@ cc(id, comp) USING KEY (id) AS (
   WHERE v.comp < u.comp GROUP BY u.id)"""
 
 
-ORACLE["identities_components"] = f"""WITH RECURSIVE {ORDERS}, {_qualifying('order_entries', _q('part'), 0.15)},
+PART_IDENTITIES = f"""RECURSIVE {ORDERS}, {_qualifying('order_entries', _q('part'), 0.15)},
 on_line AS (SELECT DISTINCT value, line FROM order_entries SEMI JOIN qualifying USING (type, value)),
 starts AS (SELECT value, min(line) AS a FROM on_line GROUP BY value),
-{_labels_of('SELECT a, line AS b FROM on_line JOIN starts USING (value) WHERE a <> line', 'SELECT DISTINCT line AS id FROM order_entries')}
-SELECT id AS line, dense_rank() OVER (ORDER BY comp) AS identity FROM cc"""
+{_labels_of('SELECT a, line AS b FROM on_line JOIN starts USING (value) WHERE a <> line', 'SELECT DISTINCT line AS id FROM order_entries')},
+ids AS (SELECT id AS line, dense_rank() OVER (ORDER BY comp) AS identity FROM cc),
+tagged AS (SELECT line, type, value, identity FROM order_entries JOIN ids USING (line))"""
+ORACLE["identities_components"] = f"WITH {PART_IDENTITIES} SELECT line, identity FROM ids"
+ORACLE["search_identity_orders"] = f"""WITH {PART_IDENTITIES}
+SELECT line, type, value, 'Identity_' || identity AS identity FROM tagged WHERE identity = (SELECT min(identity) FROM tagged WHERE value = 'p7')"""
 
 # Addresses alone link the events of one (user, host) pair, so a component is an address.
 IP_IDENTITIES = (
@@ -313,12 +317,13 @@ start AS (SELECT line, CASE WHEN n BETWEEN 2 AND floor(10 / 100.0 * (SELECT coun
   FROM ips JOIN counts USING (value)),
 tagged AS (SELECT e.line, e.pos, e.timestamp, e.type, e.value, dense_rank() OVER (ORDER BY s) AS identity FROM entries e JOIN start USING (line))"""
 )
-ORACLE["identity_summary"] = f"""WITH {IP_IDENTITIES},
-l AS (SELECT identity, count(*) AS entries, count(DISTINCT line) AS lines, list_sort(list_distinct(list(line))) AS ll,
+_SUMMARY = """l AS (SELECT identity, count(*) AS entries, count(DISTINCT line) AS lines, list_sort(list_distinct(list(line))) AS ll,
   list_sort(list_distinct(list(type || ':' || value))) AS vl FROM tagged GROUP BY identity)
 SELECT identity, entries, lines, len(vl) AS distinct_values,
   CASE WHEN lines <= 5 THEN array_to_string(ll, ', ') ELSE lines || ' unique lines' END AS line_list,
   array_to_string(vl[1:3], ', ') || CASE WHEN len(vl) > 3 THEN ' (+ ' || (len(vl) - 3) || ' more)' ELSE '' END AS samples FROM l"""
+ORACLE["identity_summary"] = f"WITH {IP_IDENTITIES}, {_SUMMARY}"
+ORACLE["identity_summary_orders"] = f"WITH {PART_IDENTITIES}, {_SUMMARY}"
 ORACLE["search_identity"] = f"""WITH {IP_IDENTITIES}
 SELECT line, pos, timestamp, type, value, 'Identity_' || identity AS identity FROM tagged
 WHERE identity = (SELECT min(identity) FROM tagged WHERE value = '10.0.8.69' HAVING count(*) <= 1000)"""
@@ -493,7 +498,7 @@ ORACLE["exclusion_catalogue"] = f"WITH {ROUTED} SELECT DISTINCT value FROM route
 TIMED = (
     ENTRIES
     + f""",
-timed AS (SELECT *, CAST(timestamp AS TIMESTAMP) AS seen, {_key()} AS node FROM entries WHERE type IN ('Username', 'IP'))"""
+timed AS (SELECT *, CAST(timestamp AS TIMESTAMP) AS seen, {_key()} AS node FROM entries)"""
 )
 ORACLE["activity_per_hour"] = f"""WITH {TIMED} SELECT group_id, {_MICROS.format("date_trunc('hour', seen)")} AS hour, count(*) AS cnt
 FROM timed GROUP BY ALL"""

@@ -183,10 +183,25 @@ def identities_greedy_rare(spark, sf):
     return tagged.select("line", "type", "value", "identity")
 
 
+def _part_identities(spark, sf):
+    """Orders that are linked by rare parts, directly or through other orders."""
+    return identities.identities(I.order_entries(spark, sf), "part", max_freq=0.15, mode="components")
+
+
 @query
 def identities_components(spark, sf):
-    tagged = identities.identities(I.order_entries(spark, sf), "part", max_freq=0.15, mode="components")
-    return tagged.select("line", "identity").distinct()
+    return _part_identities(spark, sf).select("line", "identity").distinct()
+
+
+@query
+def identity_summary_orders(spark, sf):
+    return stats.identity_summary(_part_identities(spark, sf))
+
+
+@query
+def search_identity_orders(spark, sf):
+    found = identities.search_identity(_part_identities(spark, sf), "part:p7")
+    return found.select("line", "type", "value", "identity")
 
 
 def _ip_identities(spark, sf):
