@@ -242,6 +242,19 @@ def test_line_cover_of_a_chain(spark, monkeypatch):
     assert written.count("candidates") <= 3 and len(written) < 30
 
 
+@pytest.mark.parametrize("limit", [order.LOOKUP_BYTES, 0])
+def test_lookup_join(spark, monkeypatch, limit):
+    """Broadcast or dealt to copies, the rows are the same; one key has most of them."""
+    monkeypatch.setattr(order, "LOOKUP_BYTES", limit)
+    left = spark.createDataFrame([(i, "hot" if i % 4 else f"k{i}" if i % 8 else None) for i in range(200)], "i int, k string")
+    table = spark.createDataFrame([("hot", 1), ("hot", 2), ("k4", 3), (None, 4), ("other", 5)], "k string, v int")
+    found = {"hot": [1, 2], "k4": [3]}
+    inner = [(k, i, v) for i, k in left.collect() for v in found.get(k, [])]
+    assert rows(order.join_lookup(left, table, "k", ["i"]).select("k", "i", "v")) == sorted(inner, key=repr)
+    outer = [(k, i, v) for i, k in left.collect() for v in found.get(k, [None])]
+    assert rows(order.join_lookup(left, table, "k", ["i"], "left").select("k", "i", "v")) == sorted(outer, key=repr)
+
+
 def test_tuple_provenance(spark):
     entries = [
         (1, 1, 0, "t1", "IP", "a"), (1, 1, 1, "t1", "IP", "c"), (1, 2, 0, "t2", "IP", "a"), (1, 2, 1, "t2", "URL", "http://b?x"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemesh.functions import vkey
 from tracemesh.operators.entries import filter_types
 from tracemesh.operators.forest import spanning_forest, to_roots
-from tracemesh.operators.order import number_rows, previous_value
+from tracemesh.operators.order import join_counted, number_rows, previous_value
 from tracemesh.operators.stats import qualifying_values
 from tracemesh.session import materialise
 
@@ -28,8 +28,8 @@ def _components(entries: DataFrame, types, max_freq: float) -> DataFrame:
     first = pairs.groupBy("type", "value").agg(F.min("line").alias("src"))
     edges = pairs.join(first, ["type", "value"]).select("src", F.col("line").alias("dst")).filter("src <> dst").distinct()
     labels = spanning_forest(materialise(edges, "links"), []).labels
-    smallest = labels.groupBy("root").agg(F.min("node").alias("start"))
-    linked = labels.join(smallest, "root").select(F.col("node").alias("line"), "start")
+    smallest = labels.groupBy("root").agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("_n"))
+    linked = join_counted(labels, smallest, "root", "_n").select(F.col("node").alias("line"), "start")
     lines = entries.select("line").distinct()
     return lines.join(linked, "line", "left").select("line", F.coalesce("start", "line").alias("start"))
 
@@ -69,13 +69,13 @@ def identities(
         raise ValueError("mode is 'greedy' or 'components'")
     find = _greedy if mode == "greedy" else _components
     lines = materialise(find(entries, types, max_freq), "line-identity")
-    starts = lines.select("start").distinct()
+    starts = lines.groupBy("start").agg(F.count(F.lit(1)).alias("_n"))
     if mode == "greedy":
-        starts = starts.select("start", F.col("start.line").alias("_line"), F.col("start.pos").alias("_pos"))
+        starts = starts.select("start", "_n", F.col("start.line").alias("_line"), F.col("start.pos").alias("_pos"))
         numbered = number_rows(starts, ["_line", "_pos"], "identity").drop("_line", "_pos")
     else:
         numbered = number_rows(starts, ["start"], "identity")
-    return entries.join(lines.join(numbered, "start").select("line", "identity"), "line", "left")
+    return entries.join(join_counted(lines, numbered, "start", "_n").select("line", "identity"), "line", "left")
 
 
 def _is_value(value: str):

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from tracemesh.session import materialise
 
 SLICE = 1 << 16
+LOOKUP_BYTES = 64 << 20
+SALTS = 16
 
 
 def number_rows(df: DataFrame, order: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
@@ -79,3 +81,17 @@ def join_counted(left: DataFrame, table: DataFrame, key: str, count: str, hot: i
     frequent = left.join(F.broadcast(top), key)
     rest = left.join(F.broadcast(top.select(key)), key, "left_anti").join(table, key)
     return frequent.unionByName(rest)
+
+
+def join_lookup(left: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a lookup table, of which few rows share a key, whatever share of ``left`` one key has.
+
+    The table is written and measured: up to ``LOOKUP_BYTES`` of JSON text it is broadcast; beyond, it is repeated
+    ``SALTS`` times, and the rows of ``left`` are dealt to the copies by a hash of ``spread_by``.
+    """
+    table = materialise(table, "lookup")
+    size = table.agg(F.sum(F.length(F.to_json(F.struct(*table.columns))))).first()[0] or 0
+    if size <= LOOKUP_BYTES:
+        return left.join(F.broadcast(table), key, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")

@@ -13,7 +13,7 @@ from tracemesh.functions.labels import KEY_PREFIX
 from tracemesh.functions.patterns import PERSONAL_TYPES
 from tracemesh.functions.times import parse_ts
 from tracemesh.operators.forest import Forest, spanning_forest
-from tracemesh.operators.order import number_rows
+from tracemesh.operators.order import join_counted, join_lookup, number_rows
 from tracemesh.session import materialise
 
 SPECIAL_TYPES = ("Example", "Example2")
@@ -44,7 +44,7 @@ def route_entries(
     stopped = F.lit(False)
     if stoplist is not None:
         stops = stoplist.select("value").distinct().withColumn("_stop", F.lit(True))
-        known = known.join(stops, "value", "left")
+        known = join_lookup(known, stops, "value", ["line", "pos"], "left")
         stopped = F.coalesce("_stop", F.lit(False))
     type_, value = F.col("type"), F.col("value")
     excluded = type_.isin(exclude) | value.isin(exclude) if exclude else F.lit(False)
@@ -93,7 +93,8 @@ def person_groups(links: DataFrame) -> Groups:
     rooted = links.join(forest.labels.withColumnRenamed("node", "src"), "src")
     starts = rooted.groupBy("root").agg(F.min(F.struct(*LINK_ORDER)).alias("_s")).select("root", "_s.*")
     numbered = number_rows(starts, LINK_ORDER, "group_id").select("root", "group_id")
-    members = forest.labels.join(numbered, "root").select("node", "group_id")
+    sizes = forest.labels.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    members = join_counted(forest.labels, numbered.join(sizes, "root"), "root", "_n").select("node", "group_id")
     return Groups(materialise(members, "members"), links, forest)
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemesh.operators.order import join_counted, number_rows
+from tracemesh.operators.order import join_counted, join_lookup, number_rows
 from tracemesh.session import discard, materialise
 
 # --- fixed values -----------------------------------------------------------
@@ -122,7 +122,7 @@ def _buckets(distinct: DataFrame) -> DataFrame:
     places = varying.groupBy("n").agg(F.array_sort(F.collect_list("p")).alias("places"))
     whole = lambda seed: F.aggregate(F.transform("vec", lambda t, k: _cell_hash(t, k, seed)), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
     hashed = distinct.select("i", "vec", F.size("vec").alias("n"), whole("h1").alias("h1"), whole("h2").alias("h2"))
-    rows = hashed.join(places, "n").withColumn("p", F.explode("places"))
+    rows = join_lookup(hashed, places, "n", ["i"]).withColumn("p", F.explode("places"))
     rows = rows.withColumn("q", F.explode("places")).filter("p < q")
     x, y = F.element_at("vec", F.col("p") + 1), F.element_at("vec", F.col("q") + 1)
 
@@ -260,7 +260,7 @@ def match_rules(vectors: DataFrame, rules: DataFrame) -> DataFrame:
     Rules and vectors meet on the masked vector, so only fitting pairs come together.
     """
     shapes = rules.select(F.size("rule").alias("n"), "p", "q").distinct()
-    keyed = vectors.withColumn("n", F.size("vec")).join(shapes, "n")
+    keyed = join_lookup(vectors.withColumn("n", F.size("vec")), shapes, "n", ["vec_id"])
     keyed = keyed.select("vec_id", "p", "q", _masked("vec", F.col("p"), F.col("q")).alias("rule"))
     return keyed.join(rules.select("rule_id", "p", "q", "rule"), ["p", "q", "rule"]).select("vec_id", "rule_id")
 
