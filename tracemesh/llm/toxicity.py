@@ -79,17 +79,25 @@ class ToxicModel:
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]], np.ndarray]:
         """Number of tokens, ``(first, end, score)`` of every maximal passage in token positions, and the token scores.
 
-        The k-th time that a text says the same telling token, its log-odds count for a k-th: a text that is
-        one word over and over has said it once.
+        The passages are those of the scores as they are.  Inside a passage the k-th time that it says the same telling
+        token counts for a k-th, and its score is that of the best stretch in it: a passage that is one word over
+        and over has said it once, and takes nothing from what else it says.
         """
         tokens = tokens_of(text)
         scores = self.scores(tokens)
-        said: dict[str, int] = {}
-        for i in np.flatnonzero(scores > 0).tolist():
-            said[tokens[i]] = k = said.get(tokens[i], 0) + 1
-            if k > 1:
-                scores[i] = (scores[i] + DRIFT) / k - DRIFT
-        return len(scores), maximal_segments(scores), scores
+        found = []
+        for first, end, score in maximal_segments(scores):
+            said: dict[str, int] = {}
+            own = scores[first:end].copy()
+            for i in np.flatnonzero(own > 0).tolist():
+                said[tokens[first + i]] = k = said.get(tokens[first + i], 0) + 1
+                if k > 1:
+                    own[i] = (own[i] + DRIFT) / k - DRIFT
+            if any(k > 1 for k in said.values()):
+                total = np.concatenate([[0.0], np.cumsum(own)])
+                score = float((total[1:] - np.minimum.accumulate(total)[:-1]).max())
+            found.append((first, end, score))
+        return len(scores), found, scores
 
     def normal(self, n: int, score: float) -> float:
         """The score of a passage in units in which chance puts ``exp(-x)`` passages beyond ``x`` into ``n`` tokens."""
