@@ -12,6 +12,8 @@ from tracemesh.llm.common import id_and_text, let
 
 BLOCK = 256
 THRESHOLD = 0.5
+#: Characters to either side of a match in which a context word counts.
+NEAR = 40
 
 
 def digits(value: Column) -> Column:
@@ -111,9 +113,12 @@ def spans_of(text: Column, kind: Kind) -> Column:
                     i = item["i"] + 1
                     whole = F.floor(i / BLOCK).cast("int")
                     end = _total(F.slice(block_sums, F.lit(1), whole)) + _total(F.slice(steps, whole * BLOCK + 1, i % BLOCK))
-                    near = F.lower(F.substring(item["gap"], F.greatest(F.length(item["gap"]) - 39, F.lit(1)), F.lit(40)))
-                    score = F.lit(kind.score) + F.when(near.rlike(kind.context), 0.2).otherwise(0.0)
-                    return F.struct(F.lit(kind.name).alias("kind"), (end - F.length(item["value"])).alias("start"), end.alias("end"), score.alias("score"))
+                    start = end - F.length(item["value"])
+                    before = F.substring(text, F.greatest(start - NEAR, F.lit(0)).cast("int") + 1, F.least(start, F.lit(NEAR)).cast("int"))
+                    after = F.substring(text, end.cast("int") + 1, F.lit(NEAR))
+                    near = F.lower(before).rlike(kind.context) | F.lower(after).rlike(kind.context)
+                    score = F.lit(kind.score) + F.when(near, 0.2).otherwise(0.0)
+                    return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
 
                 items = F.zip_with(found["values"], F.slice(found["gaps"], F.lit(1), F.size(found["values"])), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
                 numbered = F.transform(items, lambda x, i: F.struct(i.alias("i"), x["value"].alias("value"), x["gap"].alias("gap")))
@@ -136,7 +141,7 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, base, added)``: arrays of ``(kind, start, end, score)``, one row per input row.
 
     ``base`` has every confirmed match of the base kinds, whatever its score; ``added`` has those of
-    the further kinds whose score, raised by a context word in the 40 characters before, reaches ``threshold``.
+    the further kinds whose score, raised by a context word in the 40 characters before or after, reaches ``threshold``.
     Null and empty texts have no spans.  Null ids and repeated rows are rows like any other.
     """
     text = F.col("text")
