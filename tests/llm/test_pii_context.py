@@ -19,3 +19,12 @@ def test_context_of_lists_and_after_the_match(spark):
         [("ssn", "123-45-6789"), ("ssn", "234-56-7890")], [("ssn", "123-45-6789")], [], [],
         [("shortcard", "378282246310005"), ("shortcard", "371449635398431")], [("ssn", "123-45-6789"), ("ssn", "234-56-7890")],
     ]
+
+
+def test_numbers_followed_by_other_words_and_digits(spark):
+    found = added(spark, [
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 I think", "IBAN DE89370400440532013000X",
+        "Amex 378282246310005 12/27", "Amex 3782 822463 10005 12/27", "card 4222222222222 12/27", "card 4111 1111 1111 1111",
+    ])
+    amex = [("shortcard", "378282246310005")], [("shortcard", "3782 822463 10005")], [("shortcard", "4222222222222")]
+    assert found == [[("iban", "DE89 3704 0044 0532 0130 00")], [("iban", "DE89370400440532013000")], [], *amex, []]

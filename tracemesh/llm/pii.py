@@ -55,6 +55,30 @@ def _iban(v: Column) -> Column:
     return let(F.replace(v, F.lit(" "), F.lit("")), lambda d: F.length(d).between(15, 34) & mod97(d))
 
 
+#: Length of an IBAN without blanks, and the countries that have it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """As many characters as the country has, whatever follows after a blank; of other countries as many as there are."""
+    known = [(n, countries.replace(" ", "|")) for n, countries in IBAN_LENGTHS.items()]
+    fixed = [rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in known]
+    other = rf"(?!{'|'.join(c for _, c in known)})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*fixed, other])})(?![A-Za-z0-9])"
+
+
+#: A run of 13 to 15 digits or groups of 4, 6 and 4 or 5, whatever follows after a blank; digits in other groups only alone.
+_SHORTCARD = (
+    r"(?<![0-9])[0-9]{13,15}(?![0-9])|(?<![0-9][\x20-]?)[0-9]{4}([\x20-])[0-9]{6}\1[0-9]{4,5}(?![0-9])"
+    r"|(?<![0-9][\x20-]?)[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])"
+)
+
+
 @dataclass(frozen=True)
 class Kind:
     """A pattern with the literal that a text must contain, a check, a score and the words that raise it.
@@ -84,9 +108,9 @@ BASE = (
 
 #: Added kinds; they count only with a checksum, a context word, or both.
 ADDED = (
-    Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban, 0.6, r"iban|account|konto|compte|cuenta"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}", _iban_pattern(), _iban, 0.6, r"iban|account|konto|compte|cuenta"),
     Kind(
-        "shortcard", r"[0-9][ -]?[0-9]", r"(?<![0-9][\x20-]?)[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])", _card(13, 15), 0.3,
+        "shortcard", r"[0-9][ -]?[0-9]", _SHORTCARD, _card(13, 15), 0.3,
         r"card|amex|american express|karte|carte|tarjeta",
     ),
     Kind("ssn", r"[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda v: ~v.rlike("^(000|666|9)|-00-|-0000$"), 0.3, r"ssn|social security"),
