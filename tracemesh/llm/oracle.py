@@ -1,6 +1,7 @@
 r"""SQL for the queries of this subpackage that SQL can express, in DuckDB's dialect.
 
-The others are tested in ``tests/llm``: op1, op5 and op7 fit models, op3 needs XXH64 and reachability, op6 and op8 need the tokenizers.
+The others are tested in ``tests/llm``: op1, op5 and op7 fit models, op3 needs XXH64 and reachability, op6, op8 and op13 need the tokenizers,
+op12 needs a rolling hash.
 """
 
 from __future__ import annotations
@@ -67,3 +68,40 @@ WITH captures AS (
 SELECT c.page_id, any_value(c.fetch_day) AS fetch_day, count(h.key)::BIGINT AS n_lists, min(h.key) AS matched_key, min(h.day) AS listed_since
 FROM captures c LEFT JOIN held h ON c.page_id = h.page_id GROUP BY c.page_id
 """
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op11_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), spelled AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest([w[i:i + k - 1] for i in range(1, len(w) - k + 2)]) AS g FROM spelled, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k
+), counted AS MATERIALIZED (
+  SELECT lang, k, g, count(*)::HUGEINT AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM counted WHERE k > 1 AND a >= 10
+), cuts AS (
+  SELECT c.lang, c.k, c.g, c.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a * r.a) AS score
+  FROM candidates c, (VALUES (1), (2)) t(j), counted l, counted r
+  WHERE j < c.k AND l.lang = c.lang AND l.g = c.g[1:j] AND r.lang = c.lang AND r.g = c.g[j + 1:c.k]
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+), covered AS (
+  SELECT lang, g, max(a) AS longer FROM (
+    SELECT lang, g[1:2] AS g, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+), left_over AS (
+  SELECT s.* FROM scored s LEFT JOIN covered c ON s.lang = c.lang AND s.g = c.g WHERE c.longer IS NULL OR 100 * c.longer < 50 * s.a
+), ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+  FROM left_over
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

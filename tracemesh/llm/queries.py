@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemesh.llm import byte_bpe, exact_dedup, mixing, pii, quality_rules, simhash, subword, token_files, toxicity, url_lists
+from tracemesh.llm import align, byte_bpe, collocations, exact_dedup, mixing, pii, piecewise, quality_rules, simhash, subword, token_files, toxicity, url_lists
 from tracemesh.llm.common import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,10 +90,25 @@ def op10_url_lists(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(F.col("capture_id").alias("page_id"), "fetch_day", "n_lists", "matched_key", "listed_since")
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf, "documents"))
+
+
+def op12_piecewise(spark: SparkSession, sf: str) -> DataFrame:
+    return piecewise.compare_with_next(load(spark, sf, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    tokenizers = align.read_tokenizers(spark, public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.PATTERN, public_tokenizers.path(PIECE_MODEL))
+    found = align.align(load(spark, sf, "documents"), tokenizers)
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return align.link_scores(found.select("doc_id", "n_a", "n_b", "n_groups", digest, "links"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_mixing, op3_simhash, op4_exact_dedup, op5_quality_rules, op6_token_files, op7_quality_classifier,
-        op8_byte_bpe, op9_pii, op10_url_lists,
+        op8_byte_bpe, op9_pii, op10_url_lists, op11_collocations, op12_piecewise, op13_alignment,
     )
 }
