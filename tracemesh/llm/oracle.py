@@ -74,33 +74,38 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 ORACLE["op11_collocations"] = rf"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
 ), spelled AS (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
-), grams AS (
-  SELECT lang, k, unnest([w[i:i + k - 1] for i in range(1, len(w) - k + 2)]) AS g FROM spelled, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k
-), counted AS MATERIALIZED (
-  SELECT lang, k, g, count(*)::HUGEINT AS a FROM grams GROUP BY ALL
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), starts AS (
+  SELECT lang, unnest([{{'x': w[i], 'y': w[i + 1], 'z': w[i + 2]}} for i in range(1, len(w) + 1)], recursive := true) FROM spelled
+), f1 AS MATERIALIZED (
+  SELECT lang, x, count(*)::HUGEINT AS a FROM starts GROUP BY ALL
+), f2 AS MATERIALIZED (
+  SELECT lang, x, y, count(*)::HUGEINT AS a FROM starts WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), f3 AS MATERIALIZED (
+  SELECT lang, x, y, z, count(*)::HUGEINT AS a FROM starts WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
 ), totals AS (
-  SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
-), candidates AS (
-  SELECT * FROM counted WHERE k > 1 AND a >= 10
+  SELECT lang, sum(a)::BIGINT AS n FROM f1 GROUP BY lang
 ), cuts AS (
-  SELECT c.lang, c.k, c.g, c.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a * r.a) AS score
-  FROM candidates c, (VALUES (1), (2)) t(j), counted l, counted r
-  WHERE j < c.k AND l.lang = c.lang AND l.g = c.g[1:j] AND r.lang = c.lang AND r.g = c.g[j + 1:c.k]
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, 1 AS j, c.a, l.a AS l, r.a AS r
+  FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f1 r ON r.lang = c.lang AND r.x = c.y
+  UNION ALL
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, 1, c.a, l.a, r.a
+  FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+  UNION ALL
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, 2, c.a, l.a, r.a
+  FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN f1 r ON r.lang = c.lang AND r.x = c.z
 ), scored AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+  SELECT *, (1000000::HUGEINT * a * a) // (l * r) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000::HUGEINT * a * a) // (l * r), j) = 1
 ), covered AS (
-  SELECT lang, g, max(a) AS longer FROM (
-    SELECT lang, g[1:2] AS g, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM candidates WHERE k = 3
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, x || ' ' || y AS phrase, a FROM f3 UNION ALL SELECT lang, y || ' ' || z, a FROM f3
   ) GROUP BY ALL
-), left_over AS (
-  SELECT s.* FROM scored s LEFT JOIN covered c ON s.lang = c.lang AND s.g = c.g WHERE c.longer IS NULL OR 100 * c.longer < 50 * s.a
 ), ranked AS (
-  SELECT *, array_to_string(g, ' ') AS phrase,
-    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
-  FROM left_over
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN covered c ON s.lang = c.lang AND s.phrase = c.phrase WHERE c.longer IS NULL OR 100 * c.longer < 50 * s.a
 )
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
