@@ -19,7 +19,7 @@ from tracemesh.operators.order import join_counted, number_rows
 from tracemesh.session import discard, materialise
 
 #: Words of a shard, or one text.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Places in the marks of frequent phrases: a prime just below 2^27, so the marks take 16 MB at any size of the input.
 MARKS = (1 << 27) - 39
 SPLIT = b".,;:!?\n\x0b\x0c\r"
