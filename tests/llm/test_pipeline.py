@@ -3,7 +3,8 @@
 import collections
 
 import corpus_pipeline
-from test_operators import plain_components, plain_simhash, sha
+from test_operators import awkward, empty, same_columns, sha  # noqa: F401
+from test_shingles import plain_groups
 
 from tracemesh.llm import mixing, subword
 from tracemesh.llm.common import load
@@ -25,8 +26,8 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in rows[1]} == {r.doc_id for r in rows[0] if model.score(r.text) >= 0.5}
     last = {r.text: r.doc_id for r in sorted(rows[1])}
     assert {r.doc_id for r in rows[2]} == set(last.values())
-    component = plain_components({r.doc_id: plain_simhash(r.text) for r in rows[2]})
-    assert {r.doc_id for r in rows[3]} == {i for i, c in component.items() if i == c}
+    group = plain_groups([(r.doc_id, r.text) for r in rows[2]])
+    assert {r.doc_id for r in rows[3]} == {i for i, c in group.items() if i == c} != set(group)
     copies = {r.doc_id: r.copies for r in mixing.mix_plan(tables[3]).collect()}
     assert collections.Counter(r.doc_id for r in rows[4]) == +collections.Counter(copies)
     texts = {r.doc_id: r.text for r in rows[4]}
@@ -38,3 +39,19 @@ def test_stages(spark, sf_dir):
 def test_run_is_all_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 50
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+
+
+def test_stages_on_awkward_and_empty_tables(spark, sf_dir, awkward, empty):  # noqa: F811
+    for given in (awkward, empty):
+        before = collections.Counter(map(tuple, given.collect()))
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, given, sf_dir)
+            rows = made.collect()
+            if name == "byte-level BPE":
+                assert len(rows) == sum(before.values())
+                continue
+            same_columns(made, given)
+            left = collections.Counter(map(tuple, rows))
+            assert set(left) <= set(before)
+            if name != "mixing":
+                assert left <= before
