@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 from tracemesh.operators.people import Groups, group_entries
 
 
+#: A quoted time, or a text, a blank and a quoted time; of several quoted parts the first counts, without its last character.
+_FORMS = re.compile(r'(?s)"(?:(?P<only>.*)")?|(?P<text>.*?) "(?P<time>.*?)(?:. ".*)?"')
+
+
 @dataclass
 class Term:
     """A search term: text, a quoted time, or text followed by a quoted time."""
@@ -21,12 +25,10 @@ class Term:
 
     @classmethod
     def read(cls, term: str) -> "Term":
-        if term.startswith('"') and term.endswith('"'):
-            return cls(None, term[1:-1])
-        if ' "' in term and term.endswith('"'):
-            text, time = term.split(' "')[:2]
-            return cls(text.lower(), time[:-1])
-        return cls(term.lower(), None)
+        form = _FORMS.fullmatch(term)
+        if form is None:
+            return cls(term.lower(), None)
+        return cls(None, form["only"] or "") if form["text"] is None else cls(form["text"].lower(), form["time"])
 
     def matches(self) -> Column:
         """Whether an entry matches: its value without regard to case, its timestamp as written."""
@@ -49,12 +51,13 @@ def _time_caption(time: str, date_mark: str = "-") -> str:
     return "Date match" if has_date else "Time match" if has_clock else "Timestamp match"
 
 
-def search(routed: DataFrame, stats: DataFrame, groups: Groups, term: str) -> DataFrame:
+def search(routed: DataFrame, stats: DataFrame, groups: Groups, term: str, sizes: DataFrame | None = None) -> DataFrame:
     """``(node_id, display_text, match_type)``, one row per node or group, own values first.
 
     A node matches by its own value, else by its earliest matching entry, else by a
     filtered entry on one of its lines; a group by the latter two.  Filtered entries are
-    reduced to one per line before they meet the nodes, so no line is paired up.
+    reduced to one per line before they meet the nodes, so no line is paired up.  ``sizes(group_id, _size)`` are
+    counted from the members unless given.
     """
     wanted = Term.read(term)
     hit = wanted.matches()
@@ -94,7 +97,8 @@ def search(routed: DataFrame, stats: DataFrame, groups: Groups, term: str) -> Da
 
     per_line = routed.filter("route = 'filtered'").filter(hit).groupBy("line").agg(F.min(F.struct("timestamp", "pos")).alias("_m"))
     seen = nodes.select("line", "node").distinct().join(per_line, "line")
-    sizes = groups.members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_size"))
+    if sizes is None:
+        sizes = groups.members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_size"))
 
     def filtered_text(caption_: Column) -> Column:
         if wanted.text is None:

@@ -553,6 +553,30 @@ hit AS (SELECT * FROM grouped WHERE contains(value, '10.0.8.') AND contains(time
 SELECT node AS node_id, type || ': ' || value AS display_text, 'primary' AS match_type FROM own
 UNION ALL SELECT 'ID_' || group_id, 'Group: ID_' || group_id || ' (Combined match: ' || arg_min(value, (line, pos)) || ' at '
   || arg_min(timestamp, (line, pos)) || ')', 'entry' FROM hit GROUP BY group_id"""
+
+
+def _days_search(text: str | None, time: str | None = None) -> str:
+    """Own values first, then the first entry in a group; nets of the days have no filtered entries."""
+    value = f"contains(lower(value), '{text}')" if text else "true"
+    at = f"contains(timestamp, '{time}')" if time else "true"
+    own = f"SELECT DISTINCT node AS node_id, type || ': ' || value AS display_text, 'primary' AS match_type FROM nodes WHERE {value}"
+    if not text:
+        own = f"""SELECT node AS node_id, any_value(type) || ': ' || any_value(value) || ' (Date match: ' || min(timestamp) || ')' AS display_text,
+          'entry' AS match_type FROM nodes WHERE {at} GROUP BY node"""
+    shown = "'ID_' || group_id || ' (part of group)'"
+    if not text:
+        shown = "'ID_' || group_id || ' (Match in group)'"
+    elif time:
+        shown = "'Group: ID_' || group_id || ' (Combined match: ' || arg_min(lower(value), (line, pos)) || ' at ' || arg_min(timestamp, (line, pos)) || ')'"
+    return f"""WITH {DAYS} {own} UNION ALL
+    SELECT 'ID_' || group_id, {shown}, 'entry' FROM nodes JOIN members USING (node) WHERE {value} AND {at} GROUP BY group_id"""
+
+
+ORACLE["search_index_value"] = _days_search("u1")
+ORACLE["search_index_text"] = _days_search("host-1-")
+ORACLE["search_index_text_and_time"] = _days_search("ost-2-4@2024", "01-1")
+ORACLE["search_index_time"] = _days_search(None, "2024-01-07 1")
+ORACLE["search_index_filtered"] = ORACLE["search_filtered"]
 ORACLE["node_details"] = f"SELECT * FROM ({ORACLE['node_stats']}) WHERE node = 'User_u8'"
 ORACLE["line_details"] = f"WITH {GROUPS} SELECT line, pos, timestamp, type, value FROM grouped WHERE line = 0"
 ORACLE["stoplist_toggle"] = "SELECT DISTINCT event_type AS value FROM events WHERE event_type <> 'click' UNION SELECT 'logout'"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracemesh import functions as T
 from tracemesh import sources
 from tracemesh.operators import activity as act
-from tracemesh.operators import cover, entries, formation, identities, people, provenance, search, sessions, stats, templates
+from tracemesh.operators import cover, entries, formation, identities, people, provenance, search, search_index, sessions, stats, templates
 from tracemesh.plans import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,6 +535,29 @@ QUERIES["search_time"] = _search('"2024-01-07 1"')
 QUERIES["search_value_and_time"] = _search('10.0.8. "2024-01-07"')
 
 
+def _search_days(term: str) -> Query:
+    """A search over the groups of the days by an index built for it."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        routed = people.route_entries(I.day_entries(spark, sf))
+        groups = people.person_groups(people.line_links(routed))
+        return search_index.build_index(routed, people.node_stats(routed, YEAR), groups, I.scratch(spark, "index")).search(term)
+
+    return run
+
+
+QUERIES["search_index_value"] = _search_days("U1")
+QUERIES["search_index_text"] = _search_days("HOST-1-")
+QUERIES["search_index_text_and_time"] = _search_days('ost-2-4@2024 "01-1"')
+QUERIES["search_index_time"] = _search_days('"2024-01-07 1"')
+
+
+@query
+def search_index_filtered(spark, sf):
+    routed, groups = _groups(spark, sf)
+    return search_index.build_index(routed, people.node_stats(routed, YEAR), groups, I.scratch(spark, "index")).search("urchas")
+
+
 @query
 def node_details(spark, sf):
     return search.node_details(people.node_stats(_routed(spark, sf), YEAR), "User-u8-3")
