@@ -657,6 +657,10 @@ ORACLE["read_log"] = f"""WITH c AS (SELECT lang, CAST(sum({_LINES}) AS BIGINT) A
   FROM documents GROUP BY lang) SELECT lang, n AS lines, n AS last, n AS different, chars FROM c"""
 ORACLE["count_events"] = f"SELECT lang, CAST(sum({_LINES}) AS BIGINT) AS events FROM documents GROUP BY lang"
 ORACLE["estimate_lines"] = f"SELECT count(*) AS documents, CAST(sum({_LINES}) AS BIGINT) AS lines FROM documents"
+ORACLE["line_estimates"] = f"SELECT lang, CAST(sum({_LINES}) AS BIGINT) AS lines, CAST(0 AS BIGINT) AS far, CAST(0 AS BIGINT) AS much_read FROM documents GROUP BY lang"
+ORACLE["read_log_first_lines"] = f"""WITH {EVENT_LOG}, n AS (SELECT row_number() OVER (ORDER BY line) AS line, text FROM event_log)
+SELECT line, text FROM n WHERE line <= 2500 AND line % 3 = 0"""
+ORACLE["read_log_first_of_each"] = "SELECT CAST(40 AS BIGINT) AS lines, CAST(40 AS BIGINT) AS last, CAST(6 AS BIGINT) AS files"
 ORACLE["read_entries"] = f"WITH {ENTRIES} SELECT line, timestamp, type, value FROM entries"
 ORACLE["read_json_records"] = """SELECT count(*) AS records, count(*) AS last, count(*) AS different,
   CAST(sum(user_id) AS BIGINT) AS users FROM events"""

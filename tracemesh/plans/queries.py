@@ -686,6 +686,40 @@ def estimate_lines(spark, sf):
     return I.load(spark, sf, "documents").agg(F.count(F.lit(1)).alias("documents")).withColumn("lines", F.lit(n).cast("bigint"))
 
 
+def _written_log(spark, sf) -> str:
+    """The event log in files by ranges of its line numbers, in order."""
+    path = I.scratch(spark, "log")
+    log = I.event_log(spark, sf).repartitionByRange(6, "line").sortWithinPartitions("line")
+    log.select(F.col("text").alias("value")).write.text(path)
+    return path
+
+
+@query
+def read_log_first_lines(spark, sf):
+    """Every third of the first 2,500 lines over all files of a log, which are the only ones read."""
+    return sources.read_log(spark, _written_log(spark, sf), limit=2500, sample=3, across_files=True).select("line", "text")
+
+
+@query
+def read_log_first_of_each(spark, sf):
+    """The first 40 lines of each file are lines of the log in order."""
+    lines = sources.read_log(spark, _written_log(spark, sf), limit=40)
+    return lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.max("line").alias("last")).groupBy("lines", "last").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def line_estimates(spark, sf):
+    """Lines per language, counted, and estimated from a fifth of the blocks of each file."""
+    path = _written_documents(spark, sf) + "/*"
+    exact = sources.line_estimates(spark, path).select("path", F.col("lines").alias("exact"))
+    guessed = sources.line_estimates(spark, path, exact_below=0, share=0.2, block=4096).join(exact, "path")
+    return guessed.groupBy(_language("path").alias("lang")).agg(
+        F.sum("exact").cast("bigint").alias("lines"),
+        F.max((F.abs(F.col("lines") - F.col("exact")) > 4 * F.col("error") + 1).cast("int")).cast("bigint").alias("far"),
+        F.max((F.col("bytes_read") > 0.4 * F.col("size") + 16384).cast("int")).cast("bigint").alias("much_read"),
+    )
+
+
 @query
 def read_entries(spark, sf):
     path = I.scratch(spark, "entries")
