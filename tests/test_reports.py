@@ -215,6 +215,61 @@ def test_rules(spark, seed, alphabet):
     assert all(len(s) == next(iter(s))[1] for s in shared.values())
 
 
+def one_by_one(vectors):
+    """``(i, j, ids that leave)`` rule by rule."""
+    open_, found = dict(vectors), []
+    while True:
+        pairs = ((i, j) for i in sorted(open_) for j in sorted(open_) if j > i and sum(x != y for x, y in zip(open_[i], open_[j], strict=True)) == 2)
+        pair = next(pairs, None)
+        if pair is None:
+            return found
+        i, j = pair
+        v, w = open_[i], open_[j]
+        hits = sorted(k for k, u in open_.items() if all(x != y or x == z for x, y, z in zip(v, w, u, strict=True)))
+        found.append((i, j, hits))
+        for k in hits:
+            del open_[k]
+
+
+@pytest.mark.parametrize("share", [1, 10**9])
+def test_rules_one_by_one(spark, monkeypatch, share):
+    """Many small tangles at once, told apart by three places, with and without the step for chains."""
+    monkeypatch.setattr(templates, "CHAIN_SHARE", share)
+    vectors, expected = [], []
+    for seed in range(260):
+        rng = random.Random(seed)
+        k = rng.choice([2, 3, 4])
+        own = list({tuple(rng.randrange(k) for _ in range(5)) for _ in range(rng.randrange(5, 22))})
+        rng.shuffle(own)
+        own = [(1000 * seed + n, [*v, seed, seed, seed]) for n, v in enumerate(own)]
+        vectors += own
+        expected += one_by_one(own)
+    df = spark.createDataFrame(vectors, "vec_id bigint, vec array<bigint>").repartition(4)
+    rules = templates.mine_rules(df)
+    matched = defaultdict(list)
+    for r in rules.matches.collect():
+        matched[r.rule_id].append(r.vec_id)
+    assert [(r.i, r.j, sorted(matched[r.rule_id])) for r in rules.rules.orderBy("rule_id").collect()] == expected
+    few = templates.mine_rules(df, max_rules=37)
+    assert [(r.i, r.j) for r in few.rules.orderBy("rule_id").collect()] == [e[:2] for e in expected[:37]]
+    assert sorted(r.vec_id for r in few.matches.collect()) == sorted(i for e in expected[:37] for i in e[2])
+
+
+def test_rules_of_a_long_chain(spark, monkeypatch):
+    """Two thousand vectors, each near the next only, take a few rounds."""
+    rounds, write = [], templates.materialise
+    monkeypatch.setattr(templates, "materialise", lambda df, name: (rounds.append(name), write(df, name))[1])
+    vec, vectors = [0] * 6, []
+    for t in range(2000):
+        vectors.append((t, list(vec)))
+        at = 2 * t % 6
+        vec[at], vec[at + 1] = vec[at] + 1, vec[at + 1] + 1
+    df = spark.createDataFrame(vectors, "vec_id bigint, vec array<bigint>").repartition(4)
+    rules = templates.mine_rules(df)
+    assert [(r.i, r.j) for r in rules.rules.orderBy("rule_id").collect()] == [(i, i + 1) for i in range(0, 2000, 2)]
+    assert rounds.count("bucket-lowest") <= 3 and rounds.count("pointers") <= 13
+
+
 def test_hamming_partners(spark):
     rng = random.Random(9)
     vectors = [(k, [rng.randint(1, 4) for _ in range(4)]) for k in range(50)]

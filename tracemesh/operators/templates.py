@@ -20,6 +20,9 @@ TIME_TOKEN = 1
 ANY_TOKEN = 0
 TIME_TEXT = '"timestamp"'
 
+#: Chains are looked for in rounds in which fewer than one in so many open vectors go ahead by themselves.
+CHAIN_SHARE = 8
+
 
 def mutable_token(text: Column) -> Column:
     """Whether a string is a time of its own: it starts with 2025, or is ten long and starts with 1."""
@@ -189,41 +192,55 @@ class Rules:
     matches: DataFrame
 
 
-def mine_rules(vectors: DataFrame) -> Rules:
+def mine_rules(vectors: DataFrame, max_rules: int | None = None) -> Rules:
     """Repeat: the lowest pair that differs in exactly two places makes a rule, its matches leave.
 
-    The one-by-one rule goes through the vectors in order, so a vector may make its rule
-    as soon as no lower vector that is still open shares a bucket with it or with its
-    partner; each round lets all such vectors go ahead together.  A vector that is the
-    lowest of all its buckets and has no partner is closed, since it cannot get one later.
+    The one-by-one rule goes through the vectors in order.  A vector that is the lowest of all its buckets makes its
+    rule as soon as no vector that would leave with it shares a bucket with a lower one, whose choice it could still be; without
+    a partner it is closed, since it cannot get one later.  Each round lets all such vectors go ahead together, and
+    chains of vectors that each wait for one other go ahead whole (:func:`_chain_turns`).
+
+    ``max_rules`` stops once that many rules are certain to be the first ones.
     """
     distinct = materialise(_distinct(vectors), "distinct")
     buckets = materialise(_buckets(distinct), "buckets")
     still_open = materialise(buckets.join(_partners(buckets).select("i"), "i", "left_semi"), "open")
     made: list[DataFrame] = []
     while not still_open.isEmpty():
-        lowest = still_open.groupBy("key").agg(F.min(F.struct("i", "x", "y")).alias("a"))
+        lowest = still_open.groupBy("key").agg(F.min(F.struct("i", "x", "y")).alias("a"), F.count(F.lit(1)).alias("n"))
         rows = materialise(still_open.join(lowest, "key"), "bucket-lowest")
         both_differ = (F.col("x") != F.col("a.x")) & (F.col("y") != F.col("a.y"))
         partner = rows.groupBy("key").agg(
-            F.first("a.i").alias("i"), F.min(F.when(both_differ, F.col("i"))).alias("j")
+            F.first("a.i").alias("i"), F.first("n").alias("n"), F.min(F.when(both_differ, F.col("i"))).alias("j")
+        )
+        first = partner.groupBy("i").agg(F.min(F.when(F.col("j").isNotNull(), F.struct("j", "key", "n"))).alias("m")).select("i", "m.*")
+        below = F.when(F.col("a.i") < F.col("i"), F.col("a.i"))
+        reach = rows.groupBy("i").agg(
+            F.min("a.i").alias("lowest"), F.min(below).alias("low"), F.max(below).alias("high"), F.max((F.col("a.i") < F.col("i")) & (F.col("n") > 2)).alias("crowded")
         )
-        reach = rows.groupBy("i").agg(F.min("a.i").alias("low"))
-        first = partner.groupBy("i").agg(F.min(F.when(F.col("j").isNotNull(), F.struct("j", "key"))).alias("m"))
-        turn = reach.filter("i = low").select("i").join(first, "i")
-        turn = turn.select("i", "m.j", "m.key").join(reach.select(F.col("i").alias("j"), F.col("low").alias("_low")), "j", "left")
-        turn = materialise(turn.filter("j is null or _low = i").select("i", "j", "key"), "turn")
+        each = materialise(reach.join(first, "i", "left"), "reach")
+        own = each.filter("low is null")
+        # A rule waits while any vector that would leave with it is within reach of a lower one.
+        leave = rows.join(own.select("key"), "key", "left_semi").select("key", "i", F.col("a.i").alias("maker"))
+        safe = leave.join(each.select("i", "lowest"), "i").groupBy("key").agg((F.min("lowest") == F.first("maker")).alias("_safe")).filter("_safe")
+        turn = own.filter("j is null").select("i", "j", "key").unionByName(own.join(safe, "key", "left_semi").select("i", "j", "key"))
+        turn = materialise(turn, "turn")
+        if CHAIN_SHARE * turn.count() < each.count():
+            turn = materialise(turn.unionByName(_chain_turns(each)).distinct(), "turn")
         ready = turn.filter("j is not null")
         made.append(ready)
         leaving = rows.join(ready.select("key"), "key", "left_semi").select("i").unionByName(turn.filter("j is null").select("i"))
         before = still_open
         still_open = materialise(rows.select("i", "key", "x", "y").join(leaving.distinct(), "i", "left_anti"), "open")
-        discard(before, rows)
+        discard(before, rows, each)
+        if max_rules is not None and _certain(made, still_open, max_rules):
+            break
 
     rules = buckets.limit(0).select("i", F.col("i").alias("j"), "key")
     for part in made:
         rules = rules.unionByName(part)
-    found = materialise(number_rows(rules, ["i"], "rule_id"), "rules")
+    numbered = number_rows(rules, ["i"], "rule_id")
+    found = materialise(numbered if max_rules is None else numbered.filter(F.col("rule_id") <= max_rules), "rules")
     rules = found.join(distinct.select("i", "vec"), "i").select(
         "i", "j", "key.p", "key.q", _masked("vec", F.col("key.p"), F.col("key.q")).alias("rule"), "rule_id"
     )
@@ -234,6 +251,45 @@ def mine_rules(vectors: DataFrame) -> Rules:
     return Rules(rules, vectors.join(matched, "vec").select("vec_id", "rule_id"))
 
 
+def _certain(made: list[DataFrame], still_open: DataFrame, max_rules: int) -> bool:
+    """Whether ``max_rules`` rules come before all that the open vectors can still make."""
+    least = still_open.agg(F.min("i")).first()[0]
+    return sum((m if least is None else m.filter(F.col("i") < least)).count() for m in made) >= max_rules
+
+
+def _chain_turns(each: DataFrame) -> DataFrame:
+    """``(i, j, key)`` of the vectors in chains that go ahead now, as maker of a rule or, with a null ``j``, closed.
+
+    Of a vector that shares buckets with just one lower vector, and with that one alone, the fate hangs on that one: it
+    leaves if the lower one is open in its turn and has it as partner, else it stays.  So along a chain of partners the
+    vectors go and stay by turns, and the parity of the distance to the head of the chain tells which; the distance comes from
+    pointers followed by doubling.  A head has no lower vector, or is not the partner of its one.  The choice of a vector is known
+    beforehand if its lowest partner waits for nobody else.
+    """
+    single = (F.col("low") == F.col("high")) & ~F.col("crowded")
+    state = each.withColumn("single", F.coalesce(single, F.lit(False)))
+    other = state.select(F.col("i").alias("j"), F.col("single").alias("_s"), F.col("low").alias("_l"))
+    sure = F.col("j").isNull() | ((F.col("n") == 2) & F.col("_s") & (F.col("_l") == F.col("i")))
+    state = state.join(other, "j", "left").withColumn("known", ~F.col("crowded") & F.coalesce(sure, F.lit(False)))
+    state = materialise(state.select("i", "low", "single", "j", "key", "known"), "chain-state")
+    above = state.filter(F.col("known") & (F.col("low").isNull() | F.col("single"))).select(F.col("i").alias("low"), F.col("j").alias("_partner"))
+    waits = state.filter("single").join(above, "low").withColumn("follows", F.coalesce(F.col("_partner") == F.col("i"), F.lit(False)))
+    heads = state.filter("low is null").select("i", F.col("i").alias("to"), F.lit(0).alias("odd"))
+    chained = waits.select("i", F.when(F.col("follows"), F.col("low")).otherwise(F.col("i")).alias("to"), F.col("follows").cast("int").alias("odd"))
+    pointers = materialise(heads.unionByName(chained), "pointers")
+    left = pointers.filter("i <> to").count()
+    while left:
+        on = pointers.select(F.col("i").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+        before = pointers
+        # Pointers to vectors of unknown fate drop out.
+        pointers = materialise(pointers.join(on, "to").select("i", F.col("_to").alias("to"), F.col("odd").bitwiseXOR(F.col("_odd")).alias("odd")), "pointers")
+        ends = before.filter("i = to").select(F.col("i").alias("to"))
+        left = pointers.join(ends, "to", "left_anti").count()
+        discard(before)
+    stays = pointers.filter("odd = 0").select("i")
+    return state.filter("known and low is not null").join(stays, "i").select("i", "j", "key")
+
+
 def rule_values(rules: Rules, vectors: DataFrame) -> DataFrame:
     """``(rule_id, place, side, token)``: the two values of the founding pair at each masked place."""
     named = vectors.select(F.col("vec_id"), "vec")
