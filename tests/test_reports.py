@@ -273,6 +273,21 @@ def test_rules_of_a_long_chain(spark, monkeypatch):
     assert rounds.count("bucket-lowest") <= 3 and rounds.count("pointers") <= 13
 
 
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_hamming_links(spark, d):
+    """Counts by sets of places against all pairs, copies and several lengths included."""
+    rng = random.Random(d)
+    vectors = [(k, [7, *(rng.randint(1, 2 + k % 3) for _ in range(rng.choice([1, 2, 4, 6])))]) for k in range(150)]
+    first, copies = {}, defaultdict(int)
+    for k, v in vectors:
+        first.setdefault(tuple(v), k)
+        copies[tuple(v)] += 1
+    links = {v: sum(len(v) == len(w) and sum(x != y for x, y in zip(v, w, strict=True)) == d for w in first if len(v) == len(w)) for v in first}
+    df = spark.createDataFrame(vectors, "vec_id bigint, vec array<bigint>").repartition(4)
+    expected = sorted(((k, first[tuple(v)], copies[tuple(v)], links[tuple(v)]) for k, v in vectors), key=repr)
+    assert rows(templates.hamming_links(df, d)) == expected
+
+
 def test_hamming_partners(spark):
     rng = random.Random(9)
     vectors = [(k, [rng.randint(1, 4) for _ in range(4)]) for k in range(50)]

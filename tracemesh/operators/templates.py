@@ -184,6 +184,48 @@ def hamming_partners(vectors: DataFrame) -> DataFrame:
     return found.select("i", "j", "key.p", "key.q")
 
 
+def hamming_links(vectors: DataFrame, d: int = 2) -> DataFrame:
+    """``(vec_id, i, copies, links)``: each vector with its class of equal ones, and how many other classes differ in exactly ``d`` places.
+
+    ``i`` is the lowest vector of the class.  Classes are counted, not paired, so dense vectors cost no more than sparse ones: for
+    every set of at most ``d`` varying places, a bucket counts the classes that agree in all other places.  A class that
+    differs in s places from another agrees outside every set that holds these, so with ``v`` varying places the sum over the sets
+    of t places, times ``C(v - t, d - t)``, less for odd ``d - t``, leaves those with s = d.  Vectors of different lengths never meet.
+    """
+    if d < 1:
+        raise ValueError("classes differ in one place at least")
+    distinct = materialise(_distinct(vectors), "distinct")
+    cells = distinct.select(F.size("vec").alias("n"), F.posexplode("vec").alias("p", "t"))
+    varying = cells.groupBy("n", "p").agg((F.min("t") != F.max("t")).alias("_v"))
+    places = varying.groupBy("n").agg(F.array_sort(F.collect_list(F.when(F.col("_v"), F.col("p")))).alias("places"))
+    sets = places.select("n", "places", F.array().cast("array<int>").alias("hidden"))
+    every = sets
+    for _ in range(d):
+        grown = sets.withColumn("_p", F.explode("places")).filter(F.coalesce(F.array_max("hidden"), F.lit(-1)) < F.col("_p"))
+        sets = grown.select("n", "places", F.concat("hidden", F.array("_p")).alias("hidden"))
+        every = every.unionByName(sets)
+    left, t = F.size("places") - F.size("hidden"), F.size("hidden")
+    weight = F.lit(0).cast("bigint")
+    for size in range(d + 1):
+        ways = F.lit(1).cast("bigint")
+        for j in range(d - size):
+            ways = F.call_function("div", ways * (left - j), F.lit(j + 1))
+        weight = F.when(t == size, ways * (-1) ** (d - size)).otherwise(weight)
+    every = every.select("n", "hidden", weight.cast("bigint").alias("weight"))
+    rows = join_lookup(distinct.select("i", "vec", F.size("vec").alias("n")), every, "n", ["i"])
+
+    def shown(seed: str) -> Column:
+        cells_ = F.transform("vec", lambda x, k: F.when(~F.array_contains("hidden", k), _cell_hash(x, k, seed)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(cells_, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
+
+    key = F.struct("n", "hidden", shown("h1").alias("h1"), shown("h2").alias("h2")).alias("key")
+    rows = materialise(rows.select("i", "weight", key), "hidden")
+    counted = join_counted(rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "key", "_n")
+    links = counted.groupBy("i").agg(F.sum(F.col("weight") * F.col("_n")).alias("links"))
+    classes = distinct.select("vec", "i", F.col("cnt").alias("copies")).join(links, "i")
+    return join_counted(vectors.select("vec_id", "vec"), classes, "vec", "copies").select("vec_id", "i", "copies", "links")
+
+
 @dataclass
 class Rules:
     """``rules(rule_id, i, j, p, q, rule)`` in the order found and ``matches(vec_id, rule_id)``."""

@@ -618,6 +618,10 @@ ORACLE["vector_lengths"] = f"WITH {VECTORS} SELECT CAST(len(vec) AS INTEGER) AS
 _CELLS = f"""{VECTORS}, d AS (SELECT min(vec_id) AS i, vec[2] AS e, vec[4] AS k, vec[6] AS u FROM vectors GROUP BY vec)"""
 _TWO = "(a.e <> b.e)::INT + (a.k <> b.k)::INT + (a.u <> b.u)::INT = 2"
 ORACLE["hamming_partners"] = f"WITH {_CELLS} SELECT a.i, min(b.i) AS j FROM d a JOIN d b ON {_TWO} GROUP BY a.i"
+for _d in (1, 2, 3):
+    ORACLE[f"hamming_links_{_d}"] = f"""WITH {VECTORS}, d AS (SELECT min(vec_id) AS i, count(*) AS copies, vec, vec[2] AS e, vec[4] AS k, vec[6] AS u FROM vectors GROUP BY vec),
+    near AS (SELECT a.i, count(*) AS links FROM d a JOIN d b ON {_TWO[:-1]}{_d} GROUP BY a.i)
+    SELECT vec_id, i, copies, coalesce(links, 0) AS links FROM vectors JOIN d USING (vec) LEFT JOIN near USING (i)"""
 
 # One step of mining per recursion; the row -1 fits no rule and keeps the last step visible.
 MINED = f"""RECURSIVE {_CELLS},

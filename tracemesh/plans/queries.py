@@ -592,6 +592,13 @@ def dictionary_growth(spark, sf):
     return templates.build_dictionary(I.order_records(spark, sf), existing=sources.read_dictionary(spark, path))
 
 
+def _hamming_links(d: int) -> Query:
+    return lambda spark, sf: templates.hamming_links(_vectors(spark, sf)[0], d)
+
+
+QUERIES.update({f"hamming_links_{d}": _hamming_links(d) for d in (1, 2, 3)})
+
+
 def _vectors(spark, sf):
     records = I.event_records(spark, sf)
     dictionary = templates.materialise(templates.build_dictionary(records), "dictionary")
