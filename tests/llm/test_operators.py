@@ -98,12 +98,33 @@ def test_drop_exact_duplicates(awkward, empty):
 
 def test_clashing_chunk_identifiers(spark):
     chunk = lambda i, s: {"id": i, "sha": bytearray(s)}
-    rows = [(1, "x", [chunk(5, b"a")]), (2, "y", [chunk(5, b"b")]), (3, "x", [chunk(5, b"a")])]
-    recipes = spark.createDataFrame(rows, "doc_id bigint, text_sha256 string, chunks array<struct<id:bigint,sha:binary>>")
+    rows = [(1, "x", [chunk(5, b"a")], 0), (2, "y", [chunk(5, b"b")], 1), (3, "x", [chunk(5, b"a")], 2)]
+    recipes = spark.createDataFrame(rows, "doc_id bigint, text_sha256 string, chunks array<struct<id:bigint,sha:binary>>, row bigint")
     found = {r.doc_id: [bytes(x) for x in r.recipe] for r in exact_dedup.verified_lists(recipes).collect()}
     assert found[1] == found[3] != found[2]
 
 
+def test_chunks_follow_content_in_any_script(spark):
+    """An insertion in the middle of a text without blanks changes few of its many chunks."""
+    rng = random.Random(12)
+    scripts = [(0x4E00, 3000), (0x0E01, 46), (0x0430, 32), (0xAC00, 2000), (0x1F600, 60)]
+    texts = ["".join(chr(low + rng.randrange(n)) for _ in range(40_000)) for low, n in scripts]
+    texts.append("".join(f'{{"id":{rng.randrange(10**6)},"name":"{rng.choice(["alpha", "beta", "gamma"])}{rng.randrange(99)}"}},' for _ in range(1500)))
+    for text in texts:
+        at = rng.randrange(1000, 30_000)
+        for changed in ("x" + text, text[:at] + "一y" + text[at:]):
+            docs = spark.createDataFrame([(1, text), (2, changed)], "doc_id bigint, text string")
+            before, after = ([bytes(c.sha) for c in r.chunks] for r in exact_dedup.recipes(docs).orderBy("doc_id").collect())
+            assert len(before) > 8 and len(set(after) - set(before)) <= 3
+
+
+def test_repeated_rows_meet_in_many_parts(spark):
+    docs = spark.createDataFrame([(7, "same text")] * 500 + [(3, "same text")] * 5 + [(None, "same text"), (9, "other")], "doc_id int, text string").repartition(4)
+    rows = exact_dedup.exact_duplicates(docs).collect()
+    assert [(r.doc_id, r.keep_id, r.group_size) for r in rows if r.kept and r.doc_id != 9] == [(7, 7, 506)]
+    assert len(rows) == 507 and exact_dedup.drop_exact_duplicates(docs).count() == 2
+
+
 def test_chunks_follow_content(spark):
     rng = random.Random(9)
     text = " ".join("".join(rng.choice("acekmstuw") for _ in range(rng.randrange(2, 9))) for _ in range(4000))

@@ -4,27 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracemesh.llm.common import fresh, id_and_text, id_key, text_digest
 from tracemesh.session import materialise
 
-#: A chunk of 64 characters or more ends after a blank or line end with a character of code 3 modulo 8 (in ASCII) before
-#: it and one of code 5 modulo 8 after it, at the latest after 4096 characters.  That is rare enough for the cuts of two
-#: texts to fall together again soon after a difference.
-CHUNK = r"(?s).{64,4095}?[#+3;CKS\[cks{][\x20\n](?=[%\-5=EMU\]emu}])|.{1,4096}"
+
+
+def _bytes_of(rest: int, low: int = 0, high: int = 256) -> str:
+    """A class of the bytes from ``low`` to below ``high`` with a remainder of ``rest`` modulo 8, written as characters."""
+    return "[" + "".join(f"\\x{b:02x}" for b in range(low + (rest - low) % 8, high, 8)) + "]"
+
+
+#: A chunk of 64 bytes or more of UTF-8 ends after a character of code 3 modulo 8 and one of code 0, such as a blank, before one
+#: of code 5 or one beyond ASCII, at the latest after 4096 bytes.  The last byte of a character has its code modulo 8 in any
+#: script, and such a place is rare enough for the cuts of two texts to fall together again soon after a difference.
+CHUNK = (
+    rf"(?s).{{64,4091}}?{_bytes_of(3)}(?:{_bytes_of(0, 0, 128)}|[\xc0-\xff][\x80-\xbf]{{0,2}}{_bytes_of(0, 128, 192)})"
+    rf"(?={_bytes_of(5, 0, 128)}|[\xc0-\xff])|.{{1,4096}}"
+)
 SALTS = 64
 
 
 def recipes(docs: DataFrame, chunk: str = CHUNK) -> DataFrame:
-    """``(doc_id, text_sha256, chunks)``; ``chunks`` lists the 64-bit identifier and the SHA-256 of each chunk in order.
+    """``(doc_id, text_sha256, chunks, row)``; ``row`` numbers the rows and ``chunks`` lists the 64-bit identifier and the SHA-256 of each chunk in order.
 
     Where a chunk ends depends on the text around that place only, so an insertion
-    changes the chunks near it and no others.  An empty or null text has no chunks.
+    changes the chunks near it and no others.  Chunks are of bytes, one character each for the pattern.  An empty or null
+    text has no chunks.
     """
-    pieces = F.regexp_extract_all("text", F.lit(chunk), F.lit(0))
+    pieces = F.regexp_extract_all(F.decode(F.col("text").cast("binary"), "ISO-8859-1"), F.lit(chunk), F.lit(0))
     identified = F.transform(pieces, lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(c, 256)).alias("sha")))
-    return id_and_text(docs).select("doc_id", text_digest(F.col("text")).alias("text_sha256"), identified.alias("chunks"))
+    return id_and_text(docs).select("doc_id", text_digest(F.col("text")).alias("text_sha256"), identified.alias("chunks"), F.monotonically_increasing_id().alias("row"))
 
 
 def chunk_table(recipe_rows: DataFrame) -> DataFrame:
@@ -42,8 +52,8 @@ def verified_lists(recipe_rows: DataFrame) -> DataFrame:
     """
     shared = chunk_table(recipe_rows).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if shared.isEmpty():
-        return recipe_rows.select("doc_id", "text_sha256", F.transform("chunks", lambda c: c["id"]).alias("recipe"))
-    return recipe_rows.select("doc_id", "text_sha256", F.transform("chunks", lambda c: c["sha"]).alias("recipe"))
+        return recipe_rows.select("doc_id", "row", "text_sha256", F.transform("chunks", lambda c: c["id"]).alias("recipe"))
+    return recipe_rows.select("doc_id", "row", "text_sha256", F.transform("chunks", lambda c: c["sha"]).alias("recipe"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -58,13 +68,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     the id and the text, exactly one is kept.  An empty table gives an empty result.
     """
     rows = verified_lists(materialise(recipes(docs), "recipes"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)))
-    parts = rows.groupBy("recipe", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    groups = parts.groupBy("recipe").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    # Of rows that repeat an id, that with the highest number stands for it.
+    parts = rows.groupBy("recipe", "salt").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("recipe").agg(F.max("top").alias("top"), F.sum("n").alias("group_size"))
     found = rows.join(parts.select("recipe", "salt").join(groups, "recipe"), ["recipe", "salt"])
-    # The same id again in one group has the same recipe and salt.
-    again = F.row_number().over(Window.partitionBy("recipe", "salt", "doc_id").orderBy("doc_id"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (again == 1)
+    found = found.withColumn("keep_id", F.col("top.doc_id"))
+    kept = F.col("row") == F.col("top.row")
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
