@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +23,14 @@ PRIOR = 4.0
 STEMS = (4, 5, 6)
 #: What every token costs, so that chance passages stay short.
 DRIFT = 1.0
-#: The model has at most so many entries: those that tell most.
-ENTRIES = 1 << 16
+#: Labelled documents to learn from at most, about, chosen by a hash of their id.  It bounds the entries of the model, all of which are kept.
+LEARNED = 400_000
+#: What an entry must differ by from what it would inherit, in log-odds.
+GAIN = 0.25
 #: Occurrences of a token, or beginning, that it takes to have an entry.
 SUPPORT = 3
 #: A text is toxic if chance makes its passages as good as that with at most this probability.
 SIGNIFICANT = 0.002
-#: The best passages of a text that are judged together; their joint law falls off long before.
-RANKS = 50
 
 #: What str.split() takes for white space.
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
@@ -45,11 +46,27 @@ def tokens_of(text: str) -> list[str]:
     return [w.strip(_EDGES) for w in text.lower().split()]
 
 
+class OddsTable:
+    """Log-odds by name, in two sorted arrays of 16 bytes an entry; a name stands under its 64-bit hash."""
+
+    def __init__(self, keys: np.ndarray, odds: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.odds = keys[order], odds[order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def get(self, name: str) -> float | None:
+        key = np.int64(xxhash.xxh64_intdigest(name.encode(), seed=42) - (1 << 63)) ^ np.int64(-1 << 63)
+        at = self.keys.searchsorted(key)
+        return float(self.odds[at]) if at < len(self.keys) and self.keys[at] == key else None
+
+
 @dataclass
 class ToxicModel:
     """Log-odds of tokens and beginnings, the two numbers of the extreme-value law, and what clean texts exceed it by."""
 
-    odds: dict[str, float]
+    odds: dict[str, float] | OddsTable
     decay: float = 1.0
     rate: float = 1.0
     shift: float = 0.0
@@ -110,7 +127,7 @@ class ToxicModel:
         ``exp(-t) t^(r-1) / (r! (r-1)!)``; every ``r`` is tried, at the price of a factor ``2^r``.
         """
         best, total = -50.0, 0.0
-        for r, score in enumerate(sorted(scores, reverse=True)[:RANKS], 1):
+        for r, score in enumerate(sorted(scores, reverse=True), 1):
             x = self.normal(n, score)
             if r > 1 and x <= 0:
                 break
@@ -163,17 +180,17 @@ def token_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def log_odds(counts: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
-    """Log-odds of tokens and beginnings against the corpus, those that differ most from what they inherit.
+def log_odds(counts: DataFrame) -> OddsTable:
+    """Log-odds of tokens and beginnings against the corpus, all that differ by ``GAIN`` or more from what they inherit.
 
     A beginning of 4 characters has a Dirichlet prior with the toxic share of all tokens, one of 5 characters a prior
     with the posterior share of its first 4, and so on to the token itself.  An entry that says
-    what its parent says is not needed; of the others at most ``entries`` are kept.
+    what its parent says is not needed.
     """
     counts = materialise(counts, "token-counts")
     all_ = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     if not all_["toxic"] or not all_["clean"]:
-        return {}
+        return OddsTable(np.zeros(0, np.int64), np.zeros(0))
     base = all_["toxic"] / (all_["toxic"] + all_["clean"])
     logit = lambda p: F.log(p / (1 - p))
     share = lambda prior: (F.col("toxic") + PRIOR * prior) / (F.col("toxic") + F.col("clean") + PRIOR)
@@ -194,12 +211,12 @@ def log_odds(counts: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
         if n:
             parent = materialise(level.select(F.col("name").alias("up"), "share"), "stems")
         gain = F.abs(logit(F.col("share")) - logit(F.col("prior")))
-        table.append(level.select("name", (logit(F.col("share")) - logit(F.lit(base))).alias("odds"), gain.alias("gain"), (gain * F.sqrt(F.col("toxic") + F.col("clean"))).alias("weight")))
+        table.append(level.select("name", (logit(F.col("share")) - logit(F.lit(base))).alias("odds"), gain.alias("gain")))
     everything = table[0]
     for level in table[1:]:
         everything = everything.unionByName(level)
-    best = everything.filter("gain >= 0.25").orderBy(F.desc("weight"), "name").limit(entries)
-    return {r["name"]: r["odds"] for r in best.select("name", "odds").toLocalIterator()}
+    told = everything.filter(F.col("gain") >= GAIN).select(F.xxhash64("name").alias("key"), "odds").toArrow()
+    return OddsTable(told["key"].to_numpy(), told["odds"].to_numpy())
 
 
 def calibrate(model: ToxicModel, clean: DataFrame) -> ToxicModel:
@@ -216,7 +233,7 @@ def calibrate(model: ToxicModel, clean: DataFrame) -> ToxicModel:
             for text in batch["text"].to_pylist():
                 n, found, scores = model.passages(text)
                 bins, counts = np.unique(np.round(scores * 4).astype(np.int64), return_counts=True)
-                rows.append((n, sorted((s for *_, s in found), reverse=True)[:RANKS], bins.tolist(), counts.tolist()))
+                rows.append((n, sorted((s for *_, s in found), reverse=True), bins.tolist(), counts.tolist()))
             types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["n", "best", "bins", "counts"])
 
@@ -254,9 +271,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> To
 
     One further fold of them is left out of the counts and calibrates the passages.  Null labels and rows without an id are
     left out; of several labels of a document the largest counts.  Without labels of both classes nothing is toxic.
+    Of more than ``LEARNED`` labelled documents, a share of about so many is learned from.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marked = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("y")).filter(~held_out(F.col("doc_id")))
+    n = marked.count()
+    if n > LEARNED:
+        marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < LEARNED)
     rows = labelled(docs, marked).withColumn("fold", remainder(F.col("doc_id"), FOLDS))
     model = ToxicModel(log_odds(token_counts(rows.filter(F.col("fold") != CALIBRATION))))
     if not model.odds:
