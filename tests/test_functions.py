@@ -123,3 +123,20 @@ def test_labels(spark):
     ]
     stripped = df.select(T.strip_query(F.col("value"))).collect()
     assert stripped[1][0] == "http://x.y/z"
+
+
+def test_scans_of_many_tasks_move_no_text(spark, sf_dir):
+    """Extractors, predicates on lines and classification work where the text was read."""
+    from tracemesh.plans.queries import QUERIES
+
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for name in ("extract_email", "extract_time", "classify_lines", "scan_findings", "extract_entries"):
+            plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            assert "Scan parquet" in plan and "Exchange" not in plan, name
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -63,8 +63,12 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def spread(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Redistribute over all cores by a unique ``key``, at any size of the input.
+    """Redistribute over all cores by a unique ``key``, if the scan has fewer tasks than there are cores.
 
-    For narrow rows ahead of costly work per row, as a single file of one row group is one task otherwise.
+    A single file of one row group is one task otherwise.  A scan of more tasks than cores, as any of a large table is, is left as it
+    is, so that no text is shuffled.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *([key] if isinstance(key, str) else key))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *([key] if isinstance(key, str) else key))
