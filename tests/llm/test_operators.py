@@ -351,6 +351,30 @@ def test_token_files(spark, awkward, empty, tmp_path):
     assert token_files.read_tokens(nothing).count() == 0
 
 
+def test_token_files_in_another_session(spark, awkward, tmp_path):
+    folder = f"{tmp_path}/plain"
+    written = token_files.write_tokens(awkward, folder, public_tokenizers.path(WORD_TOKENIZER), partitions=3)
+    assert all(p.ids_path.startswith("file:///") for p in written.collect())  # a path without a scheme lies where Spark puts it
+    (tmp_path / "plain" / "part-000001-lost.ids").write_bytes(b"\x01")  # a lost attempt
+    found = token_files.read_manifest(spark.newSession(), folder)
+    assert sorted(found.collect()) == sorted(written.collect())
+    assert token_files.read_tokens(found).count() == awkward.count()
+    with pytest.raises(Exception, match="(?i)already exists"):
+        token_files.write_tokens(awkward, folder, public_tokenizers.path(WORD_TOKENIZER))
+
+
+def test_token_files_of_one_id(spark, tmp_path):
+    docs = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE 7 END AS doc_id", "concat('text ', id) AS text")
+    manifest = token_files.write_tokens(docs, f"{tmp_path}/hot", public_tokenizers.path(WORD_TOKENIZER), partitions=6)
+    parts = manifest.collect()
+    assert len(parts) == 6 and max(p.n_docs for p in parts) < 300  # neither the null id nor id 7 is a part of its own
+    rows = sorted(token_files.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 300 + [7] * 600
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(WORD_TOKENIZER))
+    texts = sorted(f"text {i}" for i in range(900) if i % 3 == 0) + sorted(f"text {i}" for i in range(900) if i % 3)
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in rows] == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_words_as_the_library_encodes_them():
     coder = token_files.WordCoder(open(public_tokenizers.path(WORD_TOKENIZER), encoding="utf-8").read())
     tokenizer = Tokenizer.from_file(public_tokenizers.path(WORD_TOKENIZER))

@@ -17,13 +17,16 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from tracemesh.llm.common import id_and_text, small_batches
-from tracemesh.session import materialise, shared_folder
+from tracemesh.session import discard, materialise, shared_folder
 
 END = 2
 #: Words whose ids a worker remembers before it starts afresh.
 REMEMBERED = 600_000
 #: Stands for a null id in the file of document ids.
 NO_ID = -(1 << 63)
+#: Rows of one id are dealt to parts by the beginning of their text, which bounds what the driver sees of a text.
+RANGE_CHARACTERS = 256
+MANIFEST = "manifest"
 
 
 def byte_letters() -> dict[int, str]:
@@ -95,8 +98,17 @@ def _coder(tokenizer_json: str, end: int) -> WordCoder:
     return WordCoder(tokenizer_json, end)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark gives it: without one it lies on the default file system, on any executor."""
+    if "://" in path:
+        return path
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and "://" not in whole else whole
+
+
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end: int = END, partitions: int | None = None) -> DataFrame:
@@ -105,11 +117,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end: int = E
     Every task writes three files: ids, offsets (one more than documents, from 0) and document ids.  Their names are
     new for each attempt, and the manifest names those of the attempts that succeeded, so a task that is lost and run again
     leaves no mark.  ``(part, ids_path, offsets_path, docs_path, width, n_docs, n_tokens, base)``: ``base`` is the
-    number of ids in all parts before, a prefix sum over one row per part.
+    number of ids in all parts before, a prefix sum over one row per part.  The manifest is written last, as Parquet in
+    ``folder/manifest``, so that :func:`read_manifest` opens the files in any later session.  A ``folder`` without a scheme
+    lies where Spark would put it, and must not hold a manifest yet.
 
-    Rows without an id come first; rows of one id are ordered by text; a null or empty text has the end id only.
+    Rows without an id come first; rows of one id are ordered by text; a null or empty text has the end id only.  Repeated
+    rows are rows like any other; many rows of one id are dealt to several parts by their texts.  Texts may be of any length.  An empty
+    table gives an empty manifest.  Columns other than id and text are not looked at.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())  # a vocabulary of fixed size
@@ -138,12 +155,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end: int = E
         row = {"part": part, "ids_path": f"{stem}.ids", "offsets_path": f"{stem}.offsets", "docs_path": f"{stem}.docs", "width": coder.dtype.itemsize, "n_docs": n_docs, "n_tokens": n_tokens}
         yield pa.RecordBatch.from_pylist([row])
 
+    keys = ["doc_id", F.substring("text", 1, RANGE_CHARACTERS)]
     rows = id_and_text(docs)
-    ranged = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
+    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     schema = "part bigint, ids_path string, offsets_path string, docs_path string, width bigint, n_docs bigint, n_tokens bigint"
-    parts = materialise(ranged.sortWithinPartitions("doc_id", "text").mapInArrow(write, schema).filter("n_docs > 0"), "token-manifest")
+    parts = materialise(ranged.sortWithinPartitions("doc_id", "text").mapInArrow(write, schema).filter("n_docs > 0"), "token-parts")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
+    parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).write.parquet(f"{folder}/{MANIFEST}")
+    discard(parts)
+    return read_manifest(spark, folder)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of the files that :func:`write_tokens` wrote to ``folder``, in this session or an earlier one.
+
+    Files that it does not name were left by lost attempts.  A folder whose writing did not end has none, which is an error.
+    """
+    return spark.read.parquet(f"{qualified(spark, folder).rstrip('/')}/{MANIFEST}")
 
 
 def _mapped(path: str, dtype: str) -> np.ndarray:
@@ -158,7 +186,7 @@ def _mapped(path: str, dtype: str) -> np.ndarray:
 def read_tokens(manifest: DataFrame, rows_a_batch: int = 500) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` from the files of a manifest, one task per part.
 
-    ``ids`` holds the ids of a document as little-endian unsigned 32-bit integers.
+    ``ids`` holds the ids of a document as little-endian unsigned 32-bit integers.  An empty manifest gives no rows.
     """
     parts = max(1, manifest.count())
     columns = ["part", "ids_path", "offsets_path", "docs_path", "width", "base"]
