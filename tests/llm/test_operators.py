@@ -420,6 +420,27 @@ def test_quality_classifier(spark, small, awkward, empty):
     assert nothing.score("any text") == 0.5
 
 
+def test_quality_sample(spark):
+    """One row an id, the smallest text; documents in the order of their hash until the bytes are used up."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (5, None), (None, 1)], "doc_id bigint, quality int")
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    hot = ids[0]
+    rows = [(i, f"text {i:03d} é") for i in range(45)] + [(hot, f"z{k}") for k in range(500)] + [(None, "none"), (ids[1], None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    whole = {r.doc_id: (r.text, r.y) for r in subword._sampled(docs, labels, "quality", 100, 1 << 20).collect()}
+    assert whole == {i: ("" if i == ids[1] else f"text {i:03d} é", i % 2) for i in ids}
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id bigint").orderBy(F.xxhash64("doc_id")).collect()]
+    few = subword._sampled(docs, labels, "quality", 10, 1 << 20).collect()
+    assert sorted(r.doc_id for r in few) == sorted(order[:10])
+    used, want = 0, []
+    for i in order:
+        if used < 50:
+            want.append(i)
+        used += len(whole[i][0].encode())
+    bound = subword._sampled(docs, labels, "quality", 100, 50).collect()
+    assert sorted(r.doc_id for r in bound) == sorted(want) and len(want) < len(ids)
+
+
 def plain_segments(scores):
     """Maximal segments by their definition: all prefixes and suffixes are positive, and no larger segment is like that."""
     total = np.concatenate([[0.0], np.cumsum(scores)])

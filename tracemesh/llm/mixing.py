@@ -35,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, limit: in
 
     A target is ``min(weight * level, limit * size)``.  Leaving out the sources with the lowest ratio of
     limit to weight one after the other gives a candidate level each; the right one is the
-    largest.  The windows see one row per source.
+    largest.  The windows see one row per source.  No source gives no row.
     """
     place = F.row_number().over(Window.orderBy("source_key"))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((place - 1) % len(weights) + 1).cast("int"))
@@ -99,7 +99,8 @@ def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, limit: int = LIMI
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, all columns.
 
-    Rows that agree in id, source and size share their copies evenly.
+    Rows that agree in id, source and size share their copies evenly.  Null ids and repeated rows are rows like any other, null and
+    empty texts have size 0, texts may be of any length, and an empty table gives an empty result.
     """
     names = [fresh(docs, n) for n in ("_key", "_source", "_size", "_copies", "_ties", "_place")]
     key, source, size, copies, ties, place = names

@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemesh.llm.common import fresh, id_and_text, remainder, small_batches
+from tracemesh.session import discard, materialise
 
 BUCKETS = 1 << 17
 WIDTH = 8
@@ -18,8 +20,8 @@ NGRAMS = (3, 4, 5)
 #: Passes over the sample, and steps at least, which takes more passes over a small sample.
 EPOCHS, STEPS = 6, 8000
 RATE = 0.5
-#: At most so many labelled documents are used to fit; every document is scored.
-SAMPLE = 5000
+#: At most so many labelled documents, and no further one past so many bytes, are used to fit; every document is scored.
+SAMPLE, SAMPLE_BYTES = 5000, 1 << 25
 FOLDS, HELD_OUT = 3, 1
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -122,15 +124,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(remainder(doc_id, FOLDS) == HELD_OUT, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> SubwordModel:
+def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, sample_bytes: int) -> DataFrame:
+    """``(doc_id, text, y)``: one row per labelled document of the sample, however many rows share its id."""
+    marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    chosen = marked.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # Combined before the shuffle: an id on a third of all rows sends one row per task.
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = materialise(rows, "sample")
+    earlier = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(earlier), F.lit(0))
+    within = rows.select("doc_id", before.alias("before")).filter(F.col("before") < sample_bytes).select("doc_id")
+    return rows.join(F.broadcast(within), "doc_id")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> SubwordModel:
     """Fit on at most ``sample`` labelled documents outside the held-out fold, drawn by a hash of their id.
 
-    The fitting runs as one task on that bounded sample; the model that comes back has a fixed size.
-    Null labels and rows without an id are left out; of several labels of a document the largest counts.
+    In that order, documents that begin past ``sample_bytes`` bytes of text are left out of the sample.  The fitting runs as one task on that
+    bounded sample; the model that comes back has a fixed size.  Null labels and rows without an id are left out; of several labels of a
+    document the largest counts, of several texts the smallest.  Without a labelled document every score is a half.
     """
-    marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    chosen = marked.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = _sampled(docs, labels, label, sample, sample_bytes)
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "y": []}), *batches]).sort_values(["doc_id", "text"])
@@ -139,6 +153,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
 
     small_batches(docs.sparkSession)
     row = rows.repartition(1).mapInPandas(fitted, "weights binary, bias double").first()
+    discard(rows)
     return SubwordModel(np.frombuffer(row["weights"], np.float32), row["bias"]) if row else train([], [])
 
 
@@ -153,12 +168,18 @@ def _scored(rows: DataFrame, text: str, out: str, model: SubwordModel) -> DataFr
 
 
 def score_quality(docs: DataFrame, model: SubwordModel) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row; null and empty texts get the score of the bias."""
+    """``(doc_id, held_out, score, predicted)`` for every row, repeated ones too; null and empty texts get the score of the bias.
+
+    Rows without an id are scored and are not held out.  Texts may be of any length.  An empty table gives an empty result.
+    """
     rows = _scored(id_and_text(docs), "text", "score", model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, model: SubwordModel) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, all columns."""
+    """The rows of ``docs`` that the classifier does not reject, all columns.
+
+    Rows without an id, repeated rows, and null or empty texts are judged like any other.  An empty table gives an empty result.
+    """
     score = fresh(docs, "_score")
     return _scored(docs, "text", score, model).filter(F.col(score) >= 0.5).drop(score)
