@@ -304,6 +304,7 @@ starts AS (SELECT value, min(line) AS a FROM on_line GROUP BY value),
 ids AS (SELECT id AS line, dense_rank() OVER (ORDER BY comp) AS identity FROM cc),
 tagged AS (SELECT line, type, value, identity FROM order_entries JOIN ids USING (line))"""
 ORACLE["identities_components"] = f"WITH {PART_IDENTITIES} SELECT line, identity FROM ids"
+ORACLE["kept_identities"] = f"WITH {PART_IDENTITIES} SELECT id AS line, comp AS start FROM cc"
 ORACLE["search_identity_orders"] = f"""WITH {PART_IDENTITIES}
 SELECT line, type, value, 'Identity_' || identity AS identity FROM tagged WHERE identity = (SELECT min(identity) FROM tagged WHERE value = 'p7')"""
 
@@ -579,6 +580,10 @@ ORACLE["search_index_time"] = _days_search(None, "2024-01-07 1")
 ORACLE["search_index_filtered"] = ORACLE["search_filtered"]
 ORACLE["node_details"] = f"SELECT * FROM ({ORACLE['node_stats']}) WHERE node = 'User_u8'"
 ORACLE["line_details"] = f"WITH {GROUPS} SELECT line, pos, timestamp, type, value FROM grouped WHERE line = 0"
+ORACLE["kept_stoplist"] = """WITH k AS (SELECT DISTINCT event_type AS value FROM events), two AS (SELECT value FROM k WHERE value <> 'signup'
+  UNION SELECT 'signup' WHERE 'signup' NOT IN (SELECT value FROM k))
+SELECT 1::BIGINT AS version, value FROM k UNION ALL SELECT 2, value FROM two
+UNION ALL SELECT 3, value FROM two WHERE value <> 'logout' UNION ALL SELECT 3, 'logout' WHERE 'logout' NOT IN (SELECT value FROM two)"""
 ORACLE["stoplist_toggle"] = "SELECT DISTINCT event_type AS value FROM events WHERE event_type <> 'click' UNION SELECT 'logout'"
 
 
@@ -610,6 +615,7 @@ used AS (SELECT text AS token_text, min((rec, idx)) AS first, count(*) AS cnt FR
 new AS (SELECT * FROM used ANTI JOIN dictionary USING (token_text))
 SELECT token_text, (SELECT max(token) FROM dictionary) + row_number() OVER (ORDER BY first) AS token, cnt FROM new
 UNION ALL SELECT d.token_text, d.token, coalesce(used.cnt, 0) FROM dictionary d LEFT JOIN used USING (token_text)"""
+ORACLE["kept_dictionary"] = ORACLE["dictionary_growth"]
 ORACLE["tokenise"] = f"WITH {VECTORS} SELECT vec_id, array_to_string(vec, ',') AS vec FROM vectors"
 ORACLE["detokenise"] = f"""WITH {ITEMS} SELECT rec AS vec_id, CAST(idx // 2 AS BIGINT) AS field,
   max(CASE WHEN idx % 2 = 0 THEN text END) AS key, max(CASE WHEN idx % 2 = 1 THEN coalesce(text, '"timestamp"') END) AS value

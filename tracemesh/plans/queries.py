@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tracemesh import functions as T
 from tracemesh import sources
 from tracemesh.operators import activity as act
-from tracemesh.operators import cover, entries, formation, identities, people, provenance, search, search_index, sessions, stats, templates
+from tracemesh.operators import cover, entries, formation, identities, kept, people, provenance, search, search_index, sessions, stats, templates
 from tracemesh.plans import inputs as I
+from tracemesh.session import materialise
+from tracemesh.sources.kept import KeptTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 YEAR = 2024
@@ -193,6 +195,19 @@ def identities_components(spark, sf):
     return _part_identities(spark, sf).select("line", "identity").distinct()
 
 
+@query
+def kept_identities(spark, sf):
+    """Orders that share parts, taken in three deltas; the first order names the identity."""
+    entries = I.order_entries(spark, sf)
+    rare = entries.join(stats.qualifying_values(entries, "part", 0.15, greedy=False).select("type", "value"), ["type", "value"], "left_semi")
+    alone = entries.select("line").distinct().select("line", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("value"))
+    rows = materialise(rare.select("line", "type", "value").unionByName(alone), "order-values")
+    tables = KeptTables(spark, I.scratch(spark, "identities"))
+    for n in range(3):
+        now = kept.add_lines(tables, rows.filter(F.col("line") % 3 == n))
+    return kept.kept_identities(now)
+
+
 @query
 def identity_summary_orders(spark, sf):
     return stats.identity_summary(_part_identities(spark, sf))
@@ -576,6 +591,18 @@ def stoplist_toggle(spark, sf):
     return search.stoplist_toggle(search.stoplist_toggle(kinds, " click "), "logout")
 
 
+@query
+def kept_stoplist(spark, sf):
+    """All versions of a kept stop list: the event types, then signups toggled, then logouts."""
+    tables = KeptTables(spark, I.scratch(spark, "stoplist"))
+    kinds = I.events(spark, sf).select(F.col("event_type").alias("value")).distinct()
+    tables.commit(tables.snapshot(), replace={"stoplist": kinds})
+    kept.toggle_stop_value(tables, "signup")
+    kept.toggle_stop_value(KeptTables(spark, tables.folder), "logout")
+    every = [tables.snapshot(v).read("stoplist").select(F.lit(v).cast("bigint").alias("version"), "value") for v in tables.versions()]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
 # --- templates ----------------------------------------------------------------------------
 
 
@@ -592,6 +619,14 @@ def dictionary_growth(spark, sf):
     return templates.build_dictionary(I.order_records(spark, sf), existing=sources.read_dictionary(spark, path))
 
 
+@query
+def kept_dictionary(spark, sf):
+    """The newest version of a kept dictionary, grown by the events and then the orders."""
+    tables = KeptTables(spark, I.scratch(spark, "kept-dictionary"))
+    kept.grow_dictionary(tables, I.event_records(spark, sf))
+    return kept.grow_dictionary(tables, I.order_records(spark, sf)).read("dictionary")
+
+
 def _hamming_links(d: int) -> Query:
     return lambda spark, sf: templates.hamming_links(_vectors(spark, sf)[0], d)
 
