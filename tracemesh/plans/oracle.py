@@ -674,6 +674,7 @@ ORACLE["read_log_first_of_each"] = "SELECT CAST(40 AS BIGINT) AS lines, CAST(40
 ORACLE["read_entries"] = f"WITH {ENTRIES} SELECT line, timestamp, type, value FROM entries"
 ORACLE["read_json_records"] = """SELECT count(*) AS records, count(*) AS last, count(*) AS different,
   CAST(sum(user_id) AS BIGINT) AS users FROM events"""
+ORACLE["file_inventory"] = f"SELECT lang, CAST(sum({_LINES}) AS BIGINT) AS events, 0::BIGINT AS unreadable FROM documents GROUP BY lang"
 ORACLE["read_stoplist"] = "SELECT n_name AS value FROM nation WHERE n_nationkey % 5 <> 0"
 ORACLE["stats_file"] = f"""WITH {TEXT_LINES}, f AS ({_tagged(_FINDING_KINDS, 'text_lines', 'src, id, line', 'category')}), s AS ({_share('f')})
 SELECT (SELECT count(*) FROM text_lines) AS total_lines_processed, (SELECT count(*) FROM f) AS total_classifications, * FROM s"""

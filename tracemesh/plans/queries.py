@@ -695,6 +695,13 @@ def retokenise(spark, sf):
 # --- files and provenance ----------------------------------------------------------------
 
 
+@query
+def file_inventory(spark, sf):
+    """Lines of the files of each language, with the number of files that could not be read."""
+    found = sources.file_inventory(spark, _written_documents(spark, sf))
+    return found.groupBy(_language("location").alias("lang")).agg(F.sum("events").alias("events"), F.count("error").alias("unreadable"))
+
+
 def _written_documents(spark, sf) -> str:
     path = I.scratch(spark, "documents")
     I.load(spark, sf, "documents").select(F.col("text").alias("value"), "lang").write.partitionBy("lang").text(path)

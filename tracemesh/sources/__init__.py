@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+from tracemesh.sources.inventory import file_inventory, list_files  # noqa: F401
 from tracemesh.sources.logs import count_events, estimate_lines, line_estimates, read_log  # noqa: F401
 from tracemesh.sources.sinks import (  # noqa: F401
     write_dictionary,
