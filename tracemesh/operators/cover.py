@@ -2,47 +2,59 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemesh.session import discard, materialise
 
+log = logging.getLogger(__name__)
+
 
 def line_cover(entries: DataFrame) -> DataFrame:
     """Greedy cover: always the line with the most values not yet shown, the first such line on ties.
 
-    Returns ``(group_id, line)``.  All groups advance together, and many lines at a time: of
-    the lines with the most new values, one is taken by the one-by-one rule if no earlier one that it shares a value with is.
-    Lines with no such blocker are taken at once, and those with a single blocker, which may have a single one
-    itself, are decided together by the parity of their distance; a line with several waits for another round.
+    Returns ``(group_id, line)``.  All groups advance together, and many lines at a time: each open value is
+    reserved for the best of its lines, by open values and then by number, and a line that holds all its
+    values is taken.  The one-by-one rule takes it too: open values of a line only become fewer, and
+    until this line is taken no line that shares a value with it comes first.  Chains of lines that wait for one
+    other line with as many open values are decided in the same round, see ``_certain``.  Rounds are logged.
     Entries without a group, line or value are left out.
     """
-    left = materialise(entries.select("group_id", "line", "value").dropna().distinct(), "cover")
+    per_line = Window.partitionBy("group_id", "line")
+    gain = F.count(F.lit(1)).over(per_line)
+    left = materialise(entries.select("group_id", "line", "value").dropna().distinct().withColumn("gain", gain), "cover")
     chosen: DataFrame | None = None
+    rounds = 0
     while chosen is None or not left.isEmpty():
-        gains = left.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("gain"))
-        best = gains.groupBy("group_id").agg(F.max("gain").alias("gain"))
-        candidates = left.join(gains.join(best, ["group_id", "gain"]).select("group_id", "line"), ["group_id", "line"])
-        candidates = materialise(candidates.select("group_id", "line", "value"), "candidates")
-        taken = _independent(candidates)
-        shown = candidates.join(taken, ["group_id", "line"], "left_semi").select("group_id", "value").distinct()
+        taken = _certain(left)
+        shown = left.join(taken, ["group_id", "line"], "left_semi").select("group_id", "value").distinct()
         before = left
-        left = materialise(left.join(shown, ["group_id", "value"], "left_anti"), "cover")
-        discard(before, candidates)
+        still = left.drop("gain").join(shown, ["group_id", "value"], "left_anti")
+        left = materialise(still.withColumn("gain", gain), "cover")
+        discard(before)
         chosen = taken if chosen is None else chosen.unionByName(taken)
+        rounds += 1
+    log.info("line_cover: %d rounds", rounds)
     return chosen
 
 
-def _independent(candidates: DataFrame) -> DataFrame:
-    """``(group_id, line)`` of the candidates that are certain to be taken, the first of each group among them.
+def _certain(left: DataFrame) -> DataFrame:
+    """``(group_id, line)`` of the lines that are certain to be taken, the best of each group among them.
 
-    A line has a single blocker if it is second of two lines in some values, always behind the same line, and first in the others.
+    A line that holds all its values is taken.  A line that is second of two in the others, always behind the same line with
+    as many open values, is taken if that line is not, since that line then loses a value and falls behind; so along a chain of
+    such lines the parity of the distance decides.
     """
     value = ["group_id", "value"]
-    first = candidates.groupBy(*value).agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n"))
-    later = F.col("line") > F.col("first")
-    lines = candidates.join(first, value).groupBy("group_id", "line").agg(
-        F.bool_or(later & (F.col("n") > 2)).alias("several"), F.min(F.when(later, F.col("first"))).alias("low"), F.max(F.when(later, F.col("first"))).alias("high")
+    best = F.min(F.struct((-F.col("gain")).alias("loss"), F.col("line").alias("line")))
+    first = left.groupBy(*value).agg(best.alias("first"), F.count(F.lit(1)).alias("n"))
+    blocker = F.when(F.col("line") != F.col("first.line"), F.col("first.line"))
+    several = blocker.isNotNull() & ((F.col("n") > 2) | (F.col("first.loss") != -F.col("gain")))
+    lines = left.join(first, value).groupBy("group_id", "line").agg(
+        F.bool_or(several).alias("several"), F.min(blocker).alias("low"), F.max(blocker).alias("high")
     )
     single = lines.filter("NOT several AND low IS NOT DISTINCT FROM high")
     state = single.select("group_id", "line", F.coalesce("low", "line").alias("up"), F.col("low").isNotNull().alias("odd"), F.col("low").isNull().alias("free"))
