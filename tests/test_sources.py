@@ -1,6 +1,8 @@
 """Readers, writers and streams."""
 
 import json
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import rows
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemesh import sources
 from tracemesh.operators import entries, provenance, sessions, stats, templates
-from tracemesh.streaming.streams import stream_entries, stream_sessions
+from tracemesh.streaming.streams import stream_collect, stream_entries, stream_sessions
 
 
 @pytest.fixture
@@ -120,6 +122,48 @@ def test_streams(spark, tmp_path):
     assert rows(spark.table("sessions_out").select("rows", "value")) == [(1, "00:00:03.000"), (2, "00:00:01.000")]
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_streamed_sessions_keep_the_last_value_per_type(spark, tmp_path, kind):
+    """Three shuffled pieces and a restart give what the batch operator gives on all rows."""
+    rng = random.Random(6)
+    begin = datetime(2024, 1, 1)
+    data = []
+    for n in range(600):
+        at = begin + timedelta(milliseconds=rng.choice([500, 1000, 1001]) * rng.randrange(2000))
+        data.append((n, str(at), rng.choice(["a", "b", None]), rng.choice(["IP", "Host", None]), rng.choice([None, f"v{n}"])))
+    data += [(n + 1000, t, k, kind_, f"w{n}") for n, t, k, kind_, _ in data[:100]]  # the same times again: the row number decides
+    rng.shuffle(data)
+    schema = "row_number bigint, ts string, user string, type string, value string"
+    inbox, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+
+    def table(piece):
+        return spark.createDataFrame(piece, schema).withColumn("ts", F.col("ts").cast(kind))
+
+    def run():
+        source = spark.readStream.schema(schema.replace("ts string", f"ts {kind}")).parquet(inbox)
+        found = stream_collect(source, ["IP", "Host", None], 1000, "1 day", ["user"])
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    for piece in (data[:250], data[250:400]):
+        table(piece).coalesce(1).write.mode("append").parquet(inbox)
+        run()
+    assert spark.read.parquet(out).isEmpty()  # nothing is closed within a day
+    table([*data[400:], (5000, "2024-01-09 00:00:00", "a", "IP", "closing")]).coalesce(1).write.mode("append").parquet(inbox)
+    run()
+    tagged = sessions.gap_sessions(table(data), 1000, ["user"])
+    expected = sessions.session_collect(tagged, ["user"]).select("user", "session", "type", "value")
+    got = spark.read.parquet(out)
+    if kind == "timestamp":
+        expected = expected.withColumn("session", F.col("session").cast("timestamp"))
+    assert rows(got) == rows(expected)
+    assert len(rows(got)) > 200
+
+    table([(1, "2024-02-09 00:00:00", "a", "Other", "x")]).write.mode("append").parquet(inbox)
+    with pytest.raises(Exception, match="a type that was not given: Other"):
+        run()
+
+
 def test_counts_of_odd_paths_and_mixed_line_lengths(spark, tmp_path):
     files = {"x y.log": "a\nb\nc\n", "z%20w.log": "a\nb\n", "long.log": ("x" * 5000 + "\n") * 2000, "short.log": "s\n" * 2000}
     for name, text in files.items():
