@@ -23,9 +23,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").select(
-        "event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")
-    )
+    return _events(load(spark, sf, "events"))
+
+
+def _events(table: DataFrame) -> DataFrame:
+    return table.select("event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
 def _text(*parts) -> Column:
@@ -87,9 +89,10 @@ def text_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def values(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct words of all texts, and the whole log lines."""
+    """Distinct words of all texts, the whole log lines, and the terminals of the events."""
     words = all_text(spark, sf).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("value"))
-    return words.unionByName(event_log(spark, sf).select(F.col("text").alias("value"))).distinct()
+    terminals = events(spark, sf).select(_text("/dev/pts", F.col("k")).alias("value"))
+    return words.unionByName(event_log(spark, sf).select(F.col("text").alias("value"))).unionByName(terminals).distinct()
 
 
 def event_entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +146,12 @@ def order_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Identity rows: event number, time, event type, user."""
-    return events(spark, sf).select(
+    return event_identities(load(spark, sf, "events"))
+
+
+def event_identities(table: DataFrame) -> DataFrame:
+    """The identity rows of a table or stream of events."""
+    return _events(table).select(
         F.col("event_id").alias("row_number"), "ts", F.col("event_type").alias("type"), _text("u", F.col("user_id")).alias("value"), "user_id"
     )
 

@@ -61,7 +61,7 @@ VALUES = (
     + """,
 vals AS (SELECT DISTINCT value FROM (
   SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS value FROM all_text
-  UNION ALL SELECT text FROM event_log))"""
+  UNION ALL SELECT text FROM event_log UNION ALL SELECT '/dev/pts' || k FROM ev))"""
 )
 
 
@@ -353,6 +353,9 @@ ORACLE["gap_sessions_per_user"] = f"""WITH {_sessions(21_600_000, 'user_id')} SE
   {_MICROS.format('max(ts)')} AS "end", count(*) AS rows FROM sessions GROUP BY user_id, n"""
 ORACLE["session_collect"] = f"""WITH {_sessions(120_000)} SELECT {_MICROS.format('session')} AS session, event_type AS type,
   arg_max('u' || user_id, (ts, event_id)) AS value FROM sessions GROUP BY session, event_type"""
+ORACLE["stream_collect_per_user"] = f"""WITH {_sessions(21_600_000, 'user_id')}, ranged AS (SELECT *, max(ts) OVER (PARTITION BY user_id, n) AS last FROM sessions)
+SELECT user_id, {_MICROS.format('session')} AS session, event_type AS type, arg_max('u' || user_id, (ts, event_id)) AS value FROM ranged
+WHERE epoch_us(last) + 21600000999 <= (SELECT epoch_ms(max(ts)) - 86400000 FROM ev) * 1000 GROUP BY user_id, session, event_type"""
 _SESSION_ROWS = f"""WITH {_sessions(300_000)}"""
 ORACLE["read_idrows"] = f"""{_SESSION_ROWS} SELECT {_MICROS.format('min(ts)')} AS start, {_MICROS.format('max(ts)')} AS "end",
   count(*) AS rows FROM sessions GROUP BY n"""

@@ -14,6 +14,7 @@ from tracemesh.operators import activity as act
 from tracemesh.operators import cover, entries, formation, identities, kept, people, provenance, search, search_index, sessions, stats, templates
 from tracemesh.plans import inputs as I
 from tracemesh.session import materialise
+from tracemesh.streaming import streams
 from tracemesh.sources.kept import KeptTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +270,18 @@ def session_collect(spark, sf):
     return sessions.session_collect(tagged).select(_text_of("session").alias("session"), "type", "value")
 
 
+@query
+def stream_collect_per_user(spark, sf):
+    """The events as a stream: the last value per type of each session of a user that a day of lateness has closed."""
+    path, state = I.scratch(spark, "stream"), I.scratch(spark, "stream-state")
+    schema = I.load(spark, sf, "events").schema
+    stream = I.event_identities(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"))  # a pattern may be a file or a folder
+    types = ["click", "error", "purchase", "signup", "view"]
+    found = streams.stream_collect(stream, types, gap_ms=6 * 3_600_000, late="1 day", keys=["user_id"])
+    found.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(path).select("user_id", _text_of("session").alias("session"), "type", "value")
+
+
 # --- nodes and groups -----------------------------------------------------------------
 
 
