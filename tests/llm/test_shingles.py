@@ -94,6 +94,36 @@ def test_groups_larger_than_a_cell(spark, cell, size):
     assert root == want and len(set(want.values())) < len(rows)
 
 
+@pytest.mark.parametrize("cell", [4, 40])
+def test_large_groups_are_compared_by_bucket(spark, cell):
+    """Templates that chain into one group of buckets, near copies of each, and copies that differ in case and blanks only."""
+    rng = random.Random(9)
+    text, rows = " ".join(f"w{rng.randrange(10**5)}" for _ in range(120)), []
+    for k in range(240):
+        if k % 12 == 0:  # the next template keeps most of the last one, but is no near copy of it
+            text = edited(text, rng, 4)
+        rows.append((1000 - k, edited(text, rng, k % 3)))
+        if k % 4 == 0:
+            rows.append((2000 + k, rows[-1][1].upper().replace(" ", "  ")))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.node: r.root for r in shingles.similar_documents(docs, cell=cell, most_parts=1).collect()}
+    want = plain_groups(rows)
+    assert {i: got.get(i, i) for i in want} == want
+    assert 2 < len(set(want.values())) < 200
+    groups, equal = shingles.candidate_groups(docs)
+    assert groups.select("root").distinct().count() < 60  # so that groups are larger than what is similar
+    assert groups.count() <= 240 and equal.count() >= 60  # of equal sets one is compared
+
+
+def test_equal_sets_are_not_compared(spark):
+    """300 copies of one text that differ in case go to no bucket; null ids are left out and repeated rows are one document."""
+    rows = [(k, "Some Words of one Text".upper() if k % 2 else "some words OF one text") for k in range(300)] + [(None, "some words of one text"), (7, "SOME WORDS OF ONE TEXT")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups, equal = shingles.candidate_groups(docs)
+    assert groups.isEmpty() and equal.count() == 299
+    assert sorted(tuple(r) for r in shingles.similar_documents(docs).collect()) == [(k, 0) for k in range(300)]
+
+
 def test_links_of_one_cell():
     rng = random.Random(4)
     for _ in range(60):
