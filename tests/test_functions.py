@@ -140,3 +140,38 @@ def test_scans_of_many_tasks_move_no_text(spark, sf_dir):
     finally:
         spark.conf.set(key, old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_scans_of_few_row_groups_get_tasks_by_rows(spark, tmp_path):
+    """A file that is cut into many splits but holds one row group is read by one task; the rows are dealt out."""
+    from tracemesh.session import spread
+
+    path = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "256")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        table = spark.read.parquet(path)
+        assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in spread(table, "id", 100).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) < 200
+        for unchanged in (spread(table, "id", 1000), spread(table, "id")):
+            assert "Exchange" not in unchanged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_cheap_tests_lose_nothing(spark):
+    """Values and lines that only just pass the tests made before the patterns."""
+    values = ["1:2:3:4:5:6:7:8", "x1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "a::", "::", "q a:b::c:d", "ab-cd-ef-ab-cd-ef", "٣٤٥", "word"]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    got = [tuple(r) for r in df.select(T.MATCHERS["ip"](F.col("value")), T.classify(F.col("value")), T.is_any_match(F.col("value"))).collect()]
+    assert [r[0] for r in got] == [True, False, False, True, True, True, False, False, False]
+    assert got[6][1] == ["mac"] and "pid" in got[7][1] and got[8][1] == []
+    assert [r[2] for r in got] == [bool(r[1]) for r in got]
+    lines = ["a0b1c2d3e4f5", " a0b1c2d3e4f5", "\na0b1c2d3e4f5\n", "\U0001f600a0b1c2d3e4f5é", " a0b1c2d3e4f5 a0b1c2d3e4f5 ", " a0b1c2d3e4f50 ", " a0b1c2d3e4f5,0b1c2d3e4f5a;"]
+    df = spark.createDataFrame([(v,) for v in lines], "text string")
+    assert [len(r[0]) for r in df.select(T.extract_macs(F.col("text"))).collect()] == [0, 0, 1, 1, 1, 0, 1]

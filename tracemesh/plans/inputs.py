@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tracemesh.functions import node_key
 from tracemesh.session import shared_folder, spread
 
+#: Texts, and whole pages, that one task may search.
+TASK_ROWS, TASK_PAGES = 50_000, 2_000
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -64,16 +66,16 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
             )
         )
     )
-    return spread(events(spark, sf), "event_id").select(F.col("event_id").alias("line"), text.alias("text"))
+    return spread(events(spark, sf), "event_id", TASK_ROWS).select(F.col("event_id").alias("line"), text.alias("text"))
 
 
 def all_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every text of the tables and the event log: ``(src, id, text)``."""
     parts = [
         event_log(spark, sf).select(F.lit("log").alias("src"), F.col("line").alias("id"), "text"),
-        spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text"),
+        spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", TASK_ROWS).select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text"),
         load(spark, sf, "pages").select(F.lit("url").alias("src"), F.col("page_id").alias("id"), F.col("url").alias("text")),
-        spread(load(spark, sf, "pages").select("page_id", "html"), "page_id").select(F.lit("html").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text")),
+        spread(load(spark, sf, "pages").select("page_id", "html"), "page_id", TASK_PAGES).select(F.lit("html").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text")),
         load(spark, sf, "conversations").select(F.lit("chat").alias("src"), F.col("conv_id").alias("id"), "text"),
     ]
     every = parts[0]

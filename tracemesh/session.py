@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "tracemesh", master: str | None = None, **options: str) -> SparkSession:
@@ -62,13 +63,19 @@ def discard(*tables: DataFrame | None) -> None:
             table._written_to = None
 
 
-def spread(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Redistribute over all cores by a unique ``key``, if the scan has fewer tasks than there are cores.
+def spread(df: DataFrame, key: str | Sequence[str], most: int | None = None) -> DataFrame:
+    """Redistribute by a unique ``key``, if the scan has fewer tasks than there are cores, or a task of it more than ``most`` rows.
 
-    A single file of one row group is one task otherwise.  A scan of more tasks than cores, as any of a large table is, is left as it
-    is, so that no text is shuffled.
+    A file is cut by its size, but a row group is read by one task, so most tasks of a scan may be empty; rows are counted (from the
+    footers of the files) where ``most`` is given, and a large table gets a task for every so many rows.  Any other scan of
+    more tasks than cores is left as it is, so that no text is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *([key] if isinstance(key, str) else key))
+    keys = [key] if isinstance(key, str) else key
+    tasks = cores if df.rdd.getNumPartitions() < cores else 0
+    if most is not None:
+        sizes = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+        rows, longest = sizes.agg(F.sum("n"), F.max("n")).first()
+        if longest and (tasks or longest > most):
+            tasks = max(cores, -(-rows // most))
+    return df.repartition(tasks, *keys) if tasks else df
