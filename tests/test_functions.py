@@ -164,6 +164,16 @@ def test_scans_of_few_row_groups_get_tasks_by_rows(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_values_are_classified_once(spark, sf_dir):
+    """The pattern of a category is in one place of the plan, not in a filter and again in the result."""
+    from tracemesh.functions import patterns as P
+    from tracemesh.plans.queries import QUERIES
+
+    for name in ("classify_values", "matcher", "is_any_match"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(P.spark_regex(P.TTY)) == 1, name
+
+
 def test_cheap_tests_lose_nothing(spark):
     """Values and lines that only just pass the tests made before the patterns."""
     values = ["1:2:3:4:5:6:7:8", "x1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "a::", "::", "q a:b::c:d", "ab-cd-ef-ab-cd-ef", "٣٤٥", "word"]

@@ -41,7 +41,9 @@ def is_email(value: Column) -> Column:
 
 
 def is_ip(value: Column) -> Column:
-    return (value.contains(".") & _matches(value, P.IPV4)) | (value.contains(":") & _matches(value, P.IPV6))
+    # Every branch of the second pattern holds two colons side by side, but for the first, which begins like this.
+    colons = value.contains("::") | value.rlike(r"\A(?:[0-9a-fA-F]{1,4}:){7}")
+    return (value.contains(".") & _matches(value, P.IPV4)) | (colons & _matches(value, P.IPV6))
 
 
 def is_mac(value: Column) -> Column:
@@ -102,11 +104,16 @@ def matcher(name: str) -> Callable[[Column], Column]:
     return MATCHERS[name]
 
 
+def _may_match(value: Column) -> Column:
+    """Every category needs a digit or one of these marks, which most words do not have."""
+    return value.rlike(r"(?U)[-.:@\d]")
+
+
 def classify(value: Column) -> Column:
     """All category names a value belongs to, in fixed order; empty text has none."""
     labels = F.array_compact(F.array(*[F.when(test(value), F.lit(name)) for name, test in MATCHERS.items()]))
-    return F.when(value == "", F.array().cast("array<string>")).otherwise(labels)
+    return F.when(~_may_match(value), F.array().cast("array<string>")).otherwise(labels)
 
 
 def is_any_match(value: Column) -> Column:
-    return (value != "") & reduce(lambda a, b: a | b, [test(value) for test in MATCHERS.values()])
+    return _may_match(value) & reduce(lambda a, b: a | b, [test(value) for test in MATCHERS.values()])

@@ -64,16 +64,27 @@ for _name, _test in T.MATCHERS.items():
 def matcher(spark, sf):
     """Every value with the names of the predicates that accept it, each looked up by its name."""
     names = F.array_compact(F.array(*[F.when(T.matcher(name)(F.col("value")), F.lit(name)) for name in sorted(T.MATCHERS)]))
-    return I.values(spark, sf).select("value", names.alias("n")).filter(F.size("n") > 0).select("value", _joined("n").alias("names"))
+    return _named(I.values(spark, sf), names).select("value", _joined("n").alias("names"))
+
+
+def _named(values: DataFrame, names: Column) -> DataFrame:
+    """Values that have any of ``names``, as ``n``: worked out once, where a filter would work them out again."""
+    return values.select("value", F.explode(F.filter(F.array(names), lambda n: F.size(n) > 0)).alias("n"))
+
+
+@query
+def is_any_match(spark, sf):
+    """Tested on the distinct values: Spark would move a filter below the distinct, to every occurrence of a value."""
+    value = F.filter(F.array("value"), T.is_any_match)
+    return I.values(spark, sf).select(F.explode(value).alias("value"))
 
 
-QUERIES["is_any_match"] = _predicate(T.is_any_match)
 QUERIES["is_timestamp_fragment"] = _predicate(T.is_timestamp_fragment)
 
 
 @query
 def classify_values(spark, sf):
-    return I.values(spark, sf).withColumn("c", T.classify(F.col("value"))).filter(F.size("c") > 0).select("value", _joined("c").alias("categories"))
+    return _named(I.values(spark, sf), T.classify(F.col("value"))).select("value", _joined("n").alias("categories"))
 
 
 @query
