@@ -185,3 +185,24 @@ def test_cheap_tests_lose_nothing(spark):
     lines = ["a0b1c2d3e4f5", " a0b1c2d3e4f5", "\na0b1c2d3e4f5\n", "\U0001f600a0b1c2d3e4f5é", " a0b1c2d3e4f5 a0b1c2d3e4f5 ", " a0b1c2d3e4f50 ", " a0b1c2d3e4f5,0b1c2d3e4f5a;"]
     df = spark.createDataFrame([(v,) for v in lines], "text string")
     assert [len(r[0]) for r in df.select(T.extract_macs(F.col("text"))).collect()] == [0, 0, 1, 1, 1, 0, 1]
+
+
+def test_logs_and_records_are_dealt_out_by_rows(spark, sf_dir, monkeypatch):
+    """The events are one row group; what is parsed of them is parsed in a task per so many rows."""
+    from tracemesh.plans import inputs
+
+    monkeypatch.setattr(inputs, "TASK_ROWS", 100)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    for made in (inputs.event_log, inputs.event_records):
+        assert made(spark, sf_dir).rdd.getNumPartitions() == -(-rows // 100), made.__name__
+
+
+def test_encoding_in_one_parse(spark, sf_dir):
+    from tracemesh.operators import templates
+    from tracemesh.plans import inputs
+
+    records = inputs.event_records(spark, sf_dir)
+    vectors, dictionary = templates.encode(records)
+    apart = templates.build_dictionary(records)
+    assert sorted(map(tuple, dictionary.collect())) == sorted(map(tuple, apart.collect()))
+    assert sorted(map(tuple, vectors.collect())) == sorted(map(tuple, templates.tokenise(records, apart).collect()))

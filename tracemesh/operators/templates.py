@@ -63,7 +63,12 @@ def _quoted(text: Column) -> Column:
 
 def build_dictionary(records: DataFrame, base: int = BASE_TOKEN, existing: DataFrame | None = None) -> DataFrame:
     """``(token_text, token, cnt)``: tokens above ``base`` in order of first use, after those of ``existing``."""
-    used = items(records).filter("not mutable").groupBy(F.col("text").alias("token_text")).agg(
+    return _numbered(items(records), base, existing)
+
+
+def _numbered(found: DataFrame, base: int, existing: DataFrame | None = None) -> DataFrame:
+    """The dictionary of ``items``."""
+    used = found.filter("not mutable").groupBy(F.col("text").alias("token_text")).agg(
         F.min(F.struct("rec", "idx")).alias("_first"), F.count(F.lit(1)).alias("cnt")
     )
     start = F.lit(base).cast("bigint")
@@ -81,7 +86,20 @@ def build_dictionary(records: DataFrame, base: int = BASE_TOKEN, existing: DataF
 
 def tokenise(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(vec_id, vec)`` per record.  Keys that are in every record are looked up by broadcast."""
-    found = materialise(items(records), "items")  # three uses, one parse
+    return _vectors(materialise(items(records), "items"), dictionary)  # three uses, one parse
+
+
+def encode(records: DataFrame, base: int = BASE_TOKEN) -> tuple[DataFrame, DataFrame]:
+    """The vectors of the records and the dictionary built from them, both written, with one parse for both."""
+    found = materialise(items(records), "items")
+    dictionary = materialise(_numbered(found, base), "dictionary")
+    vectors = materialise(_vectors(found, dictionary), "vectors")
+    discard(found)
+    return vectors, dictionary
+
+
+def _vectors(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The vectors of written ``items``."""
     fixed = found.filter("mutable").select("rec", "idx", F.lit(TIME_TOKEN).cast("bigint").alias("token"))
     looked_up = join_counted(
         found.filter("not mutable").select("rec", "idx", "text"), dictionary.withColumnRenamed("token_text", "text"), "text", "cnt"
@@ -220,9 +238,11 @@ def hamming_links(vectors: DataFrame, d: int = 2) -> DataFrame:
 
     key = F.struct("n", "hidden", shown("h1").alias("h1"), shown("h2").alias("h2")).alias("key")
     rows = materialise(rows.select("i", "weight", key), "hidden")
-    counted = join_counted(rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "key", "_n")
-    links = counted.groupBy("i").agg(F.sum(F.col("weight") * F.col("_n")).alias("links"))
-    classes = distinct.select("vec", "i", F.col("cnt").alias("copies")).join(links, "i")
+    # Written, as each is read three times by the join.
+    counts = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "bucket-counts")
+    links = join_counted(rows, counts, "key", "_n").groupBy("i").agg(F.sum(F.col("weight") * F.col("_n")).alias("links"))
+    classes = materialise(distinct.select("vec", "i", F.col("cnt").alias("copies")).join(links, "i"), "classes")
+    discard(rows, counts)
     return join_counted(vectors.select("vec_id", "vec"), classes, "vec", "copies").select("vec_id", "i", "copies", "links")
 
 

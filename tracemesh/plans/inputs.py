@@ -166,7 +166,7 @@ def event_records(spark: SparkSession, sf: str) -> DataFrame:
         "k",
         F.expr(f"cast(timestampdiff(SECOND, {EPOCH}, ts) as string)").alias("when"),
     )
-    return events(spark, sf).select(F.col("event_id").alias("rec"), F.to_json(fields).alias("json"))
+    return spread(events(spark, sf), "event_id", TASK_ROWS).select(F.col("event_id").alias("rec"), F.to_json(fields).alias("json"))
 
 
 def order_records(spark: SparkSession, sf: str) -> DataFrame:

@@ -659,9 +659,7 @@ QUERIES.update({f"hamming_links_{d}": _hamming_links(d) for d in (1, 2, 3)})
 
 
 def _vectors(spark, sf):
-    records = I.event_records(spark, sf)
-    dictionary = templates.materialise(templates.build_dictionary(records), "dictionary")
-    return templates.materialise(templates.tokenise(records, dictionary), "vectors"), dictionary
+    return templates.encode(I.event_records(spark, sf))
 
 
 @query
