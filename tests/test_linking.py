@@ -367,3 +367,47 @@ def test_rounds_leave_only_live_tables(spark):
     assert found.labels.select("root").distinct().count() == 1 and found.edges.count() == 64
     assert len(found.rounds) > 2
     assert tables("edges") - before == 1
+
+
+def test_components(spark):
+    """Chains, stars, circles, loops, repeated and mutual links, in node numbers that rise, fall or are mixed."""
+    from tracemesh.operators.forest import components
+
+    rng = random.Random(11)
+    mixed = rng.sample(range(1000, 1100), 100)
+    links = [(i, i + 1) for i in range(1, 60)] + [(i + 1, i) for i in range(200, 230)] + [(300, 300 + i) for i in range(1, 50)]
+    links += [(499, i) for i in range(450, 499)] + [(600, 601), (601, 602), (602, 600), (601, 600), (700, 700), (701, 701), (701, 702), (701, 702)]
+    links += [(mixed[i], mixed[i + 1]) for i in range(99)] + [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(120)]
+    parent = {n: n for pair in links for n in pair}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()}
+    assert found.keys() == parent.keys()
+    groups, roots = defaultdict(set), defaultdict(set)
+    for node, root in found.items():
+        groups[root].add(node)
+        roots[find(node)].add(root)
+    assert all(root in members for root, members in groups.items()) and all(len(r) == 1 for r in roots.values()) and len(groups) == len(roots)
+    assert components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_components_compare_numbers_only(spark, sf_dir, monkeypatch):
+    """No part of a round sorts to aggregate, as the smallest of edges with their weights would."""
+    from tracemesh.operators import forest
+
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    monkeypatch.setattr(forest, "materialise", written)
+    edges = spark.range(50).selectExpr("id AS src", "id + 1 AS dst")
+    labels = identities.components(edges)
+    assert labels.count() == 51 and plans and not any("SortAggregate" in p for p in plans)

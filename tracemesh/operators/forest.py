@@ -100,6 +100,43 @@ def spanning_forest(edges: DataFrame, order: Sequence[str]) -> Forest:
     return Forest(materialise(labels, "labels"), materialise(forest, "forest"), rounds)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` for every node of ``(src, dst)``: the labels of the forest without its edges.
+
+    Each component points to its smallest neighbour.  Pointers cannot run in a circle but between two components that point at
+    each other, so the number of components at least halves each round, and nothing but node numbers is compared.
+    Self edges only register their node.
+    """
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+    def pairs(df: DataFrame) -> DataFrame:
+        ends = df.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return materialise(ends.distinct(), "edges")
+
+    alive = pairs(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    rounds = []
+    while not alive.isEmpty():
+        both_ways = F.explode(
+            F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))
+        )
+        picks = alive.select(both_ways.alias("e")).groupBy("e.c").agg(F.min("e.o").alias("o"))
+        # Of two that point at each other, the smaller becomes the root.
+        ends = picks.groupBy(F.least("c", "o").alias("low"), F.greatest("c", "o").alias("high")).agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("n"))
+        low, high = F.struct(F.col("low").alias("c"), "low"), F.struct(F.col("high").alias("c"), "low")
+        other = F.when(F.col("c") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+        one = F.struct("c", other.alias("low"))
+        hooks = ends.select(F.explode(F.when(F.col("n") == 2, F.array(low, high)).otherwise(F.array(one))).alias("h"))
+        hooks = to_roots(materialise(hooks.select("h.c", F.col("h.low").alias("parent")), "hooks"))
+        rounds.append(hooks)
+        before = alive
+        alive = pairs(alive.join(hooks.toDF("a", "_a"), "a").join(hooks.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        discard(before)
+    labels = nodes.withColumn("root", F.col("node"))
+    for hooks in rounds:
+        labels = labels.join(hooks.toDF("root", "_root"), "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return materialise(labels, "labels")
+
+
 def highest_ancestor(parents: DataFrame, starts: DataFrame) -> DataFrame:
     """For each start ``(at, below, ...)`` the highest ancestor of ``at`` with a number less than ``below``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemesh.functions import vkey
 from tracemesh.operators.entries import filter_types
-from tracemesh.operators.forest import spanning_forest, to_roots
+from tracemesh.operators.forest import components, to_roots
 from tracemesh.operators.order import join_counted, number_rows, previous_value
 from tracemesh.operators.stats import qualifying_values
 from tracemesh.session import materialise
@@ -22,12 +22,12 @@ def _qualified(entries: DataFrame, types, max_freq: float, greedy: bool) -> Data
 
 def _components(entries: DataFrame, types, max_freq: float) -> DataFrame:
     """Line to the smallest line of its component; lines that share nothing stand alone."""
-    pairs = _qualified(entries, types, max_freq, greedy=False).select("type", "value", "line").distinct()
+    pairs = _qualified(entries, types, max_freq, greedy=False).select("type", "value", "line")
     pairs = materialise(pairs, "value-lines")
     # One edge from each line to the first line of the value links the same lines as all pairs would.
     first = pairs.groupBy("type", "value").agg(F.min("line").alias("src"))
-    edges = pairs.join(first, ["type", "value"]).select("src", F.col("line").alias("dst")).filter("src <> dst").distinct()
-    labels = spanning_forest(materialise(edges, "links"), []).labels
+    edges = pairs.join(first, ["type", "value"]).select("src", F.col("line").alias("dst")).filter("src <> dst")
+    labels = components(materialise(edges, "links"))
     smallest = labels.groupBy("root").agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("_n"))
     linked = join_counted(labels, smallest, "root", "_n").select(F.col("node").alias("line"), "start")
     lines = entries.select("line").distinct()

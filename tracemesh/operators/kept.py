@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemesh.functions import vkey
-from tracemesh.operators.forest import spanning_forest
+from tracemesh.operators.forest import components
 from tracemesh.operators.order import join_counted, join_lookup
 from tracemesh.operators.search import stoplist_toggle
 from tracemesh.operators.templates import build_dictionary
@@ -68,7 +68,7 @@ def add_lines(kept: KeptTables, entries: DataFrame) -> Snapshot:
             .unionByName(known_values.join(firsts, "vkey").select(F.col("first").alias("src"), F.col("start").alias("dst")))
             .unionByName(known_lines.select(F.col("line").alias("src"), F.col("start").alias("dst")))
         )
-        found = spanning_forest(materialise(links.distinct(), "links"), []).labels
+        found = components(materialise(links.distinct(), "links"))
         starts = found.groupBy("root").agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("n"))
         labels = materialise(join_counted(found, starts, "root", "n").select("node", "start"), "labels")
         # A node that was an identity and is not the first line of its component has been merged.
