@@ -411,3 +411,35 @@ def test_components_compare_numbers_only(spark, sf_dir, monkeypatch):
     edges = spark.range(50).selectExpr("id AS src", "id + 1 AS dst")
     labels = identities.components(edges)
     assert labels.count() == 51 and plans and not any("SortAggregate" in p for p in plans)
+
+
+def test_forest_compares_numbers_only(spark, monkeypatch):
+    """Rounds over named nodes hash numbers; the smallest of edges with their names would be found by sorting."""
+    from tracemesh.operators import forest
+
+    plans = []
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialise(df, name)
+
+    monkeypatch.setattr(forest, "materialise", written)
+    edges = [(f"n{k}", f"n{k + 1}", (k * 7919) % 64) for k in range(64)] + [("alone", "alone", 70), ("n3", "n9", 90)]
+    found = forest.spanning_forest(spark.createDataFrame(edges, "src string, dst string, line int"), ["line"])
+    rounds = [p for name, p in plans if name in ("edges", "hooks", "pointers", "labels", "forest")]
+    assert len(rounds) > 5 and not any("SortAggregate" in p for p in rounds)
+    assert sorted((r.src, r.dst) for r in found.edges.collect()) == sorted((a, b) for a, b, line in edges if line < 70)
+    roots = {r.node: r.root for r in found.labels.collect()}
+    assert len(roots) == 66 and roots["alone"] == "alone" and len({roots[f"n{k}"] for k in range(65)}) == 1
+
+
+def test_earliest_link_of_repeated_nodes(spark):
+    """A node twice on a line, links in both directions and self links: the earliest by line and places stays."""
+    places = {1: "abab", 2: "bacc", 3: "cba", 4: "dd", 5: "ddd", 0: "e"}
+    routed = [(line, pos, "node", name) for line, names in places.items() for pos, name in enumerate(names)]
+    got = people.line_links(spark.createDataFrame(routed, "line bigint, pos bigint, route string, node string").repartition(3))
+    want = {}
+    for line in sorted(places):
+        for pos, name in enumerate(places[line][1:], 1):
+            want.setdefault(frozenset((places[line][0], name)), (places[line][0], name, line, 0, pos))
+    assert rows(got) == sorted(want.values())

@@ -15,20 +15,25 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemesh.operators.order import number_rows
 from tracemesh.session import discard, materialise
 
 
 @dataclass
 class Forest:
-    """``labels(node, root)`` and ``edges(src, dst, <order>, level)``.
+    """``labels(node, root)`` and ``edges(src, dst, <order>, seq, a, b, level)``.
 
-    ``rounds[i]`` maps each component alive in round ``i`` to its component afterwards,
+    Inside, nodes and edges are numbers: ``nodes(node, c, r, first)`` gives each node its number, that of its root and that of the
+    first edge that touches it; ``links(src, dst, <order>, seq, a, b)`` numbers all edges by ``order`` and names their ends.
+    ``rounds[i]`` maps the number of each component alive in round ``i`` to its component afterwards,
     ``(c, parent, pick)``, where ``pick`` is the first edge leaving it.
     """
 
     labels: DataFrame
     edges: DataFrame
     rounds: list[DataFrame] = field(default_factory=list)
+    nodes: DataFrame | None = None
+    links: DataFrame | None = None
 
 
 def to_roots(hooks: DataFrame) -> DataFrame:
@@ -54,50 +59,50 @@ def spanning_forest(edges: DataFrame, order: Sequence[str]) -> Forest:
     Self edges only register their node.
     """
     order = list(order)
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    weight = F.struct(*order, "src", "dst").alias("w")
+    names = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    names = materialise(names.withColumn("c", F.monotonically_increasing_id()), "nodes")
+    links = number_rows(edges.select("src", "dst", *order), [*order, "src", "dst"], "seq")
+    links = links.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
+    links = materialise(links.select("src", "dst", *order, "seq", "a", "b"), "numbered")
 
     def lightest(df: DataFrame) -> DataFrame:
         """Join parallel edges into the first of them."""
-        ends = df.filter(F.col("a") != F.col("b")).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w"
-        )
-        return materialise(ends.groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
+        ends = df.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "seq")
+        return materialise(ends.groupBy("a", "b").agg(F.min("seq").alias("seq")), "edges")
 
-    alive = lightest(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), weight))
-    empty = edges.sparkSession.createDataFrame([], alive.select("w.*").schema).withColumn("level", F.lit(0))
+    alive = lightest(links)
     rounds, picked = [], []
     while not alive.isEmpty():
         both_ways = F.explode(
             F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))
         )
-        picks = (
-            alive.select("w", both_ways.alias("e"))
-            .groupBy("e.c")
-            .agg(F.min(F.struct("w", "e.o")).alias("m"))
-            .select("c", F.col("m.w").alias("pick"), F.col("m.o").alias("parent"))
-        )
+        picks = alive.select("seq", both_ways.alias("e")).groupBy("e.c").agg(F.min("seq").alias("pick"), F.min_by("e.o", "seq").alias("parent"))
         # An edge picked from both ends would make a cycle; its smaller end becomes the root.
-        ends = picks.groupBy("pick").agg(F.min("c").alias("low"), F.count(F.lit(1)).alias("n"), F.max(F.struct("c", "parent")).alias("high"))
-        root = F.struct(F.col("low").alias("c"), F.col("low").alias("parent"))
-        hooks = ends.select("pick", F.explode(F.when(F.col("n") == 2, F.array(root, F.col("high"))).otherwise(F.array("high"))).alias("h"))
+        ends = picks.groupBy("pick").agg(
+            F.min("c").alias("low"), F.count(F.lit(1)).alias("n"), F.max("c").alias("c"), F.max_by("parent", "c").alias("parent")
+        )
+        root, high = F.struct(F.col("low").alias("c"), F.col("low").alias("parent")), F.struct("c", "parent")
+        hooks = ends.select("pick", F.explode(F.when(F.col("n") == 2, F.array(root, high)).otherwise(F.array(high))).alias("h"))
         hooks = to_roots(materialise(hooks.select("h.c", "h.parent", "pick"), "hooks"))
-        picked.append(hooks.select("pick.*").distinct().withColumn("level", F.lit(len(rounds))))
+        picked.append(hooks.select(F.col("pick").alias("seq")).distinct().withColumn("level", F.lit(len(rounds))))
         rounds.append(hooks)
         target = hooks.select("c", "parent")
         before = alive
         alive = lightest(
-            alive.join(target.toDF("a", "_a"), "a").join(target.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "w")
+            alive.join(target.toDF("a", "_a"), "a").join(target.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "seq")
         )
         discard(before)
-    labels = nodes.withColumn("root", F.col("node"))
-    for hooks in rounds:
-        target = hooks.select(F.col("c").alias("root"), F.col("parent").alias("_root"))
-        labels = labels.join(target, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
-    forest = empty
+    root = names.select("c", F.col("c").alias("r")).limit(0)
+    for number, hooks in enumerate(reversed(rounds)):  # from the few components of the last round down to the nodes
+        moved = hooks.select("c", F.col("parent").alias("_p"))
+        root = moved.join(root.toDF("_p", "r"), "_p", "left").select("c", F.coalesce("r", "_p").alias("r")) if number else moved.toDF("c", "r")
+    first = links.select("seq", F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.min("seq").alias("first"))
+    nodes = materialise(names.join(first, "c").join(root, "c", "left").select("node", "c", F.coalesce("r", "c").alias("r"), "first"), "labels")
+    labels = nodes.join(nodes.filter("c = r").select("r", F.col("node").alias("root")), "r").select("node", "root")
+    chosen = links.select("seq").limit(0).withColumn("level", F.lit(0))
     for level in picked:
-        forest = forest.unionByName(level)
-    return Forest(materialise(labels, "labels"), materialise(forest, "forest"), rounds)
+        chosen = chosen.unionByName(level)
+    return Forest(labels, materialise(links.join(chosen, "seq"), "forest"), rounds, nodes, links)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemesh.functions import strip_query
 from tracemesh.operators.forest import highest_ancestor
-from tracemesh.operators.order import number_rows, previous_value
+from tracemesh.operators.order import previous_value
 from tracemesh.operators.people import LINK_ORDER, Groups, merge_events
 from tracemesh.session import materialise
 
@@ -23,23 +23,17 @@ def _chain(rows: DataFrame) -> DataFrame:
 
 
 def formation_steps(groups: Groups) -> DataFrame:
-    """Every change of a group with a global number ``seq`` and ``parent``, the next change of the same group.
+    """Every change of a group with ``seq``, the number of its link, and ``parent``, the next change of the same group.
 
     The steps of one group form a tree that can be as deep as the group is large, so it is
     not replayed.  The contraction rounds of the spanning forest give it from the top:
     links of the last round follow one another directly; links of an earlier round lie on
     the path above the component they were contracted into, at the place their number says.
     """
-    steps = materialise(number_rows(merge_events(groups), LINK_ORDER, "seq"), "steps")
-    edge = [*LINK_ORDER, "src", "dst"]
-    level = groups.forest.edges.select(*edge, "level")
-    at = steps.join(level, edge).select("seq", "level", F.col("src").alias("c"))
-    numbers = steps.select("seq", F.struct(*edge).alias("pick"))
+    steps = merge_events(groups)
+    at = steps.filter("level is not null").select("seq", "level", F.col("a").alias("c"))
     # First link leaving each component, by number.
-    rounds = [
-        materialise(r.join(numbers, "pick").select("c", "parent", F.col("seq").alias("leave")), "round")
-        for r in groups.forest.rounds
-    ]
+    rounds = [r.select("c", "parent", F.col("pick").alias("leave")) for r in groups.forest.rounds]
     by_level = []
     for number, r in enumerate(rounds):
         moved = at.join(r.select("c", F.col("parent").alias("_c")), "c").select("seq", "level", F.col("_c").alias("c"))
@@ -50,7 +44,7 @@ def formation_steps(groups: Groups) -> DataFrame:
     for number in reversed(range(len(rounds))):
         here = by_level[number]
         if parents is None:
-            placed = here.select("seq", F.concat(F.lit("c"), F.col("c").cast("string")).alias("chain"))
+            placed = here.select("seq", (F.col("c") * 2).alias("chain"))
             placed = placed.withColumn("base", F.lit(None).cast("bigint")).withColumn("top", F.lit(None).cast("bigint"))
             parents = materialise(_chain(placed), "parents")
             continue
@@ -60,7 +54,7 @@ def formation_steps(groups: Groups) -> DataFrame:
         on_leaf = F.col("ancestor").isNull()
         placed = found.select(
             "seq",
-            F.when(on_leaf, F.concat(F.lit("c"), F.col("c").cast("string"))).otherwise(F.concat(F.lit("s"), F.col("ancestor").cast("string"))).alias("chain"),
+            F.when(on_leaf, F.col("c") * 2).otherwise(F.col("ancestor") * 2 + 1).alias("chain"),
             F.col("ancestor").alias("base"),
             F.when(on_leaf, F.col("leave")).otherwise(F.col("_above")).alias("top"),
         )
@@ -70,9 +64,9 @@ def formation_steps(groups: Groups) -> DataFrame:
         parents = steps.select("seq", F.lit(None).cast("bigint").alias("parent")).limit(0)
     if rounds:
         # A self link comes before every other link of its node.
-        selfs = steps.filter("src = dst").select("seq", F.col("src").alias("c")).join(rounds[0].select("c", "leave"), "c", "left")
+        selfs = steps.filter("level is null").select("seq", F.col("a").alias("c")).join(rounds[0].select("c", "leave"), "c", "left")
         parents = parents.unionByName(selfs.select("seq", F.col("leave").alias("parent")))
-    return steps.join(parents, "seq", "left")
+    return steps.drop("level", "a").join(parents, "seq", "left")
 
 
 def formation_graph(groups: Groups, log: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,6 +28,8 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str, within: Sequence[
     a shift, so the shift table has at most one row per partition.
     """
     within, order = list(within), list(order)
+    if not within:
+        return _number_all(df, order, out)
     # The partition must not change between the two uses below, hence the written table.
     sliced = df.repartitionByRange(*within, *order).withColumn("_slice", F.spark_partition_id())
     sliced = materialise(sliced, "number")
@@ -45,20 +47,30 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str, within: Sequence[
     )
 
 
+def _number_all(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Global numbers: sorted partitions are written with Spark's increasing ids, which hold the partition and the place in it."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialise(placed, "number").withColumn("_slice", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    number = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_shift") + 1
+    return placed.join(F.broadcast(shifts), "_slice").withColumn(out, number).drop("_id", "_slice", "_shift")
+
+
 def previous_value(df: DataFrame, group: str, pos: str, value: Column, out: str, size: int = SLICE) -> DataFrame:
     """``lag(value)`` within ``group`` ordered by the integer ``pos``, which must be unique in the group.
 
-    A slice holds the rows with the same ``pos div size``: at most ``size`` rows.  The
-    first row of a later slice takes its value from the last row of the slice before it.
+    Groups of more than ``size`` rows are cut into slices, the rows with the same ``pos div size``: at most ``size`` rows.  The
+    first row of a later slice takes its value from the last row of the slice before it.  Such groups are few, as each has
+    more than ``size`` rows, and are broadcast.
     """
-    sliced = df.withColumn("_value", value).withColumn("_slice", F.expr(f"{pos} div {size}"))
+    wide = F.broadcast(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select(group, F.lit(True).alias("_wide")))
+    cut = F.when(F.col("_wide"), F.expr(f"{pos} div {size}")).otherwise(F.lit(0))
+    sliced = df.withColumn("_value", value).join(wide, group, "left").withColumn("_slice", cut)
     inside = Window.partitionBy(group, "_slice").orderBy(pos)
     lagged = sliced.withColumn(out, F.lag("_value").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    # Only groups that reach past slice 0 have borders at all.
-    wide = sliced.filter("_slice <> 0").select(group).distinct()
-    last = (
-        sliced.join(wide, group, "left_semi").groupBy(group, "_slice").agg(F.max_by("_value", pos).alias("_last"))
-    )
+    last = sliced.filter("_wide").groupBy(group, "_slice").agg(F.max_by("_value", pos).alias("_last"))
     borders = (
         last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(group).orderBy("_slice")))
         .filter(F.col("_carry").isNotNull())
@@ -67,7 +79,7 @@ def previous_value(df: DataFrame, group: str, pos: str, value: Column, out: str,
     return (
         lagged.join(borders, [group, "_slice"], "left")
         .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(out)))
-        .drop("_value", "_slice", "_first", "_carry")
+        .drop("_value", "_wide", "_slice", "_first", "_carry")
     )
 
 

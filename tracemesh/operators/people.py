@@ -64,23 +64,34 @@ def line_links(routed: DataFrame) -> DataFrame:
     (line, pos_a, pos_b) they change the groups at exactly the same steps, because after its
     links from the first node a line is in one group.  A node twice on a line links to itself.
     """
-    nodes = routed.filter("route = 'node'").select("line", "pos", "node")
+    nodes = materialise(routed.filter("route = 'node'").select("line", "pos", "node"), "line-nodes")
     first = nodes.groupBy("line").agg(F.min("pos").alias("pos_a"), F.min_by("node", "pos").alias("src"))
     pairs = nodes.join(first, "line").filter("pos > pos_a")
     # Unordered: a later link in the other direction changes nothing.
     ends = [F.least("src", "node").alias("_x"), F.greatest("src", "node").alias("_y")]
-    place = F.struct("line", "pos_a", F.col("pos").alias("pos_b"), "src", F.col("node").alias("dst"))
-    earliest = pairs.groupBy(*ends).agg(F.min(place).alias("_p"))
-    return earliest.select("_p.src", "_p.dst", "_p.line", "_p.pos_a", "_p.pos_b")
+    # A line has one first node, so once a node is on a line once, the line alone tells which link is earliest.
+    once = pairs.groupBy("line", "pos_a", "src", "node").agg(F.min("pos").alias("pos_b"))
+    earliest = once.groupBy(*ends).agg(
+        F.min("line").alias("line"),
+        *[F.min_by(name, "line").alias(name) for name in ("pos_a", "pos_b")],
+        F.min_by(F.col("src") <= F.col("node"), "line").alias("_up"),
+    )
+    src, dst = F.when(F.col("_up"), F.col("_x")).otherwise(F.col("_y")), F.when(F.col("_up"), F.col("_y")).otherwise(F.col("_x"))
+    return earliest.select(src.alias("src"), dst.alias("dst"), "line", "pos_a", "pos_b")
 
 
 @dataclass
 class Groups:
-    """``members(node, group_id)`` with the links and the forest they came from."""
+    """``members(node, group_id)`` with the links and the forest they came from.
+
+    ``numbered(node, group_id, c, first)`` adds the numbers of the forest; ``changes`` keeps what :func:`merge_events` has written.
+    """
 
     members: DataFrame
     links: DataFrame
     forest: Forest
+    numbered: DataFrame | None = None
+    changes: DataFrame | None = None
 
     def count(self) -> DataFrame:
         return self.members.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("n"))
@@ -90,37 +101,36 @@ def person_groups(links: DataFrame) -> Groups:
     """Connected nodes as groups ``1..n``, numbered by the link that began them."""
     links = materialise(links, "links")
     forest = spanning_forest(links, LINK_ORDER)
-    rooted = links.join(forest.labels.withColumnRenamed("node", "src"), "src")
-    starts = rooted.groupBy("root").agg(F.min(F.struct(*LINK_ORDER)).alias("_s")).select("root", "_s.*")
-    numbered = number_rows(starts, LINK_ORDER, "group_id").select("root", "group_id")
-    sizes = forest.labels.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-    members = join_counted(forest.labels, numbered.join(sizes, "root"), "root", "_n").select("node", "group_id")
-    return Groups(materialise(members, "members"), links, forest)
+    roots = forest.nodes.groupBy("r").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("_n"))
+    roots = number_rows(roots, ["first"], "group_id").select("r", "group_id", "_n")
+    numbered = join_counted(forest.nodes, roots, "r", "_n").select("node", "group_id", "c", "first")
+    numbered = materialise(numbered, "members")
+    return Groups(numbered.select("node", "group_id"), links, forest, numbered)
 
 
 def merge_events(groups: Groups) -> DataFrame:
-    """The links that changed a group, ``(group_id, event, src, dst, new_member, line, pos_a, pos_b)``.
+    """The links that changed a group, ``(group_id, event, src, dst, new_member, line, pos_a, pos_b, seq, level, a)``.
+
+    ``seq`` is the number of the link, ``level`` the round that picked it (null for self links), ``a`` the number of ``src``.
 
     A link changes something exactly if it is in the minimum spanning forest, or if it is
     the self link that first registers a node.  A node is new to a link if no earlier
     link touches it, which tells forming (both new), adding (one new) and merging apart.
     """
-    order = F.struct(*LINK_ORDER)
-    touched = groups.links.select(order.alias("_o"), F.explode(F.array("src", "dst")).alias("node"))
-    first = touched.groupBy("node").agg(F.min("_o").alias("_first"))
-    columns = ["src", "dst", *LINK_ORDER]
-    changes = groups.forest.edges.select(*columns).unionByName(groups.links.filter("src = dst").select(*columns))
-    a = first.select(F.col("node").alias("src"), (F.col("_first")).alias("_fa"))
-    b = first.select(F.col("node").alias("dst"), (F.col("_first")).alias("_fb"))
-    seen = changes.join(a, "src").join(b, "dst")
-    new_a, new_b = F.col("_fa") == order, F.col("_fb") == order
-    event = F.when(new_a & new_b, "FORMED").when(new_a | new_b, "ADDED").otherwise("MERGED")
-    seen = seen.withColumn("event", event).filter((F.col("src") != F.col("dst")) | (F.col("event") == "FORMED"))
-    new_member = F.when(F.col("event") == "ADDED", F.when(new_a, F.col("src")).otherwise(F.col("dst")))
-    seen = seen.withColumn("new_member", new_member)
-    return seen.join(groups.members.withColumnRenamed("node", "src"), "src").select(
-        "group_id", "event", "src", "dst", "new_member", *LINK_ORDER
-    )
+    if groups.changes is None:
+        columns = ["src", "dst", *LINK_ORDER, "seq", "a", "b"]
+        selfs = groups.forest.links.filter("a = b").select(*columns, F.lit(None).cast("int").alias("level"))
+        changes = groups.forest.edges.select(*columns, "level").unionByName(selfs)
+        a = groups.numbered.select(F.col("c").alias("a"), F.col("first").alias("_fa"), "group_id")
+        b = groups.numbered.select(F.col("c").alias("b"), F.col("first").alias("_fb"))
+        seen = changes.join(a, "a").join(b, "b")
+        new_a, new_b = F.col("_fa") == F.col("seq"), F.col("_fb") == F.col("seq")
+        event = F.when(new_a & new_b, "FORMED").when(new_a | new_b, "ADDED").otherwise("MERGED")
+        seen = seen.withColumn("event", event).filter((F.col("a") != F.col("b")) | (F.col("event") == "FORMED"))
+        new_member = F.when(F.col("event") == "ADDED", F.when(new_a, F.col("src")).otherwise(F.col("dst")))
+        seen = seen.withColumn("new_member", new_member)
+        groups.changes = materialise(seen.select("group_id", "event", "src", "dst", "new_member", *LINK_ORDER, "seq", "level", "a"), "events")
+    return groups.changes
 
 
 def merge_log(groups: Groups, stats: DataFrame, added: str = "ADDED") -> DataFrame:
@@ -129,8 +139,8 @@ def merge_log(groups: Groups, stats: DataFrame, added: str = "ADDED") -> DataFra
     Steps are numbered in time order.  ``added='JOINED'`` names and orders the pair of an
     addition the way the map view does, with the known member first.
     """
-    steps = number_rows(merge_events(groups), LINK_ORDER, "step", within=["group_id"])
-    shown = stats.select("node", strip_query(F.col("value"), F.col("type")).alias("shown"))
+    steps = number_rows(merge_events(groups).drop("seq", "level", "a"), LINK_ORDER, "step", within=["group_id"])
+    shown = materialise(stats.select("node", strip_query(F.col("value"), F.col("type")).alias("shown")), "shown")
     named = (
         steps.join(shown.toDF("src", "a_value"), "src")
         .join(shown.toDF("dst", "b_value"), "dst")
