@@ -443,3 +443,25 @@ def test_earliest_link_of_repeated_nodes(spark):
         for pos, name in enumerate(places[line][1:], 1):
             want.setdefault(frozenset((places[line][0], name)), (places[line][0], name, line, 0, pos))
     assert rows(got) == sorted(want.values())
+
+
+def test_step_members_follow_one_group(spark, monkeypatch):
+    """The jump tables hold steps of the group that is asked for, not of all groups."""
+    from tracemesh.operators import forest
+
+    routed = [(line, pos, "node", f"g{line % 20}n{line // 20 + pos}") for line in range(200) for pos in range(2)]
+    routed = spark.createDataFrame(routed, "line bigint, pos bigint, route string, node string")
+    groups = people.person_groups(people.line_links(routed))
+    steps = formation.formation_steps(groups)
+    last = steps.filter("group_id = 3").agg({"seq": "max"}).first()[0]
+    sizes = []
+
+    def written(df, name):
+        table = materialise(df, name)
+        sizes.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(forest, "materialise", written)
+    found = {r.node for r in formation.step_members(groups, steps, last).collect()}
+    assert found == {r.node for r in groups.members.filter("group_id = 3").collect()} and len(found) == 11
+    assert steps.count() == 200 and 0 < max(n for name, n in sizes if name == "jumps") < 10

@@ -87,9 +87,10 @@ def formation_graph(groups: Groups, log: DataFrame) -> tuple[DataFrame, DataFram
 
 def step_members(groups: Groups, steps: DataFrame, seq: int) -> DataFrame:
     """The nodes that are in the group right after step ``seq``: those whose first step leads up to it."""
-    ends = steps.select("seq", "group_id", F.explode(F.array("src", "dst")).alias("node"))
-    target = steps.filter(F.col("seq") == seq).select("group_id")
-    first = ends.join(target, "group_id", "left_semi").groupBy("node").agg(F.min("seq").alias("at"))
+    target = F.broadcast(materialise(steps.filter(F.col("seq") == seq).select("group_id"), "target"))
+    steps = materialise(steps.join(target, "group_id", "left_semi").select("seq", "parent", "src", "dst"), "steps-of-group")
+    ends = steps.select("seq", F.explode(F.array("src", "dst")).alias("node"))
+    first = ends.groupBy("node").agg(F.min("seq").alias("at"))
     found = highest_ancestor(steps.select("seq", "parent"), first.withColumn("below", F.lit(seq + 1)))
     return found.filter(F.col("ancestor") == seq).select("node")
 
@@ -97,7 +98,7 @@ def step_members(groups: Groups, steps: DataFrame, seq: int) -> DataFrame:
 def step_entries(entries: DataFrame, members: DataFrame) -> DataFrame:
     """The first entry of each distinct value (URLs without query) among a step's members."""
     shown = strip_query(F.col("value")).alias("shown")
-    kept = entries.join(members.select("node"), "node", "left_semi")
+    kept = entries.join(materialise(members.select("node"), "step-members"), "node", "left_semi")
     first = F.min(F.struct("line", "pos", "timestamp", "type", "value")).alias("_e")
     return kept.groupBy(shown).agg(first).select("shown", "_e.*")
 
