@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import awkward, empty, prose, same_columns, texts_of  # noqa: F401
 
-from tracemesh.llm import exact_dedup, shingles
+from tracemesh.llm import exact_dedup, shingles, simhash
 from tracemesh.llm.common import load
 
 
@@ -136,3 +136,23 @@ def test_links_of_one_cell():
         for a, b in links:
             name = [name[a] if x == name[b] else x for x in name]
         assert all(name[a] == name[b] for a in range(25) for b in range(25) if near(a, b))
+
+
+def test_fingerprints_propose_groups(spark, monkeypatch):
+    """Copies within 4 bits meet through their SimHash fingerprints, whatever the buckets say; the sets decide."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(0, 30, 2):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(1500)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:-1], "other"]))]
+    prints = {i: shingles.fingerprint(shingles.shingle_set(t)) for i, t in rows}
+    assert all((prints[k] ^ prints[k + 1]).bit_count() <= 4 for k in range(0, 30, 2))
+    assert shingles.fingerprint(shingles.shingle_set("")) == 0
+    text = " ".join(f"w{k}" for k in range(200))
+    assert shingles.fingerprint(shingles.shingle_set(text)) == simhash.simhash(text, 5)  # no shingle twice
+    none = iter(range(10**6))
+    monkeypatch.setattr(shingles, "buckets", lambda s: np.array([next(none) + int(s[0] >> np.uint64(24))], np.int64))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups, _ = shingles.candidate_groups(docs)
+    assert {r.doc_id for r in groups.collect()} == set(prints)
+    assert sorted(r.doc_id for r in shingles.drop_similar(docs).collect()) == list(range(0, 30, 2))
