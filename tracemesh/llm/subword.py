@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,12 +84,49 @@ class SubwordModel:
         return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 
-def train(texts: Sequence[str], labels: Sequence[int], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> SubwordModel:
+class Bags:
+    """The different features of documents and how often each occurs.
+
+    All are in one buffer, five or six bytes a feature, so that a worker holds no text but that of the batch it reads, and gives the memory back.
+    """
+
+    def __init__(self, buckets: int = BUCKETS):
+        self.buckets, self.data = buckets, bytearray()
+        self.at: list[tuple[int, int, np.dtype]] = []
+
+    def add(self, texts: Iterable[str]) -> None:
+        for text in texts:
+            ids, counts = np.unique(features(text, self.buckets), return_counts=True)
+            small = np.min_scalar_type(counts.max(initial=0))
+            self.at.append((len(self.data), len(ids), small))
+            self.data += ids.astype(np.int32).tobytes()
+            self.data += counts.astype(small).tobytes()
+
+    def sort(self, keys: Sequence[int]) -> np.ndarray:
+        """Put the documents in the order of ``keys``, and return that order."""
+        order = np.argsort(np.asarray(keys, np.int64), kind="stable")
+        self.at = [self.at[k] for k in order]
+        return order
+
+    def __getitem__(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        start, n, small = self.at[d]
+        counts = np.frombuffer(self.data, small, n, start + 4 * n) if n else np.zeros(0, small)
+        return np.frombuffer(self.data, np.int32, n, start) if n else np.zeros(0, np.int32), counts.astype(np.int64)
+
+
+def train(texts: Iterable[str], labels: Sequence[int], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> SubwordModel:
+    """The model of some texts; see :func:`descend`."""
+    bags = Bags(buckets)
+    bags.add(texts)
+    return descend(bags, labels, width, epochs, rate, seed)
+
+
+def descend(bags: Bags, labels: Sequence[int], width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> SubwordModel:
     """Stochastic gradient descent, one document a step, classes weighed alike, the rate falling to zero.
 
     The vectors of a document's features are averaged and go through a softmax over two classes.
     """
-    rng = np.random.default_rng(seed)
+    rng, buckets = np.random.default_rng(seed), bags.buckets
     vectors = (rng.random((buckets, width), dtype=np.float32) - np.float32(0.5)) / np.float32(width)
     output, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
     y = np.asarray(labels, np.int64)
@@ -97,7 +134,6 @@ def train(texts: Sequence[str], labels: Sequence[int], buckets: int = BUCKETS, w
     if len(present) < 2:  # nothing to tell apart
         return SubwordModel(np.zeros(buckets, np.float32), float({(): 0.0, (0,): -3.0, (1,): 3.0}[tuple(present)]))
     balance = len(y) / (2 * np.bincount(y, minlength=2))
-    bags = [np.unique(features(t, buckets), return_counts=True) for t in texts]
     epochs = max(epochs, -(-STEPS // len(y)))
     steps, at = epochs * len(y), 0
     for _ in range(epochs):
@@ -147,8 +183,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     rows = _sampled(docs, labels, label, sample, sample_bytes)
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "y": []}), *batches]).sort_values(["doc_id", "text"])
-        model = train(table["text"].tolist(), table["y"].astype(int).tolist())
+        bags, ids, y = Bags(), [], []
+        for batch in batches:
+            bags.add(batch["text"])
+            ids += batch["doc_id"].tolist()
+            y += batch["y"].tolist()
+        model = descend(bags, np.array(y, np.int64)[bags.sort(ids)])
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
     small_batches(docs.sparkSession)
