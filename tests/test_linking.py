@@ -465,3 +465,38 @@ def test_step_members_follow_one_group(spark, monkeypatch):
     found = {r.node for r in formation.step_members(groups, steps, last).collect()}
     assert found == {r.node for r in groups.members.filter("group_id = 3").collect()} and len(found) == 11
     assert steps.count() == 200 and 0 < max(n for name, n in sizes if name == "jumps") < 10
+
+
+def test_steps_rise_once_a_round(spark, monkeypatch):
+    """A deep tree of steps takes one table a round and one of the chains, however deep it is."""
+    from tracemesh.operators import forest
+
+    rng = random.Random(4)
+    pairs = [(f"n{k}", f"n{k + 1}") for k in range(150)] + [(f"n{k % 9}", f"leaf{k}") for k in range(150)] + [("x", "y"), ("y", "z"), ("s", "s")]
+    rng.shuffle(pairs)
+    routed = [(line, pos, "node", name) for line, pair in enumerate(pairs) for pos, name in enumerate(pair)]
+    groups = people.person_groups(people.line_links(spark.createDataFrame(routed, "line bigint, pos bigint, route string, node string")))
+    people.merge_events(groups)
+    written = []
+
+    def counted(df, name):
+        written.append(name)
+        return materialise(df, name)
+
+    monkeypatch.setattr(forest, "materialise", counted)
+    monkeypatch.setattr(formation, "materialise", counted)
+    steps = formation.formation_steps(groups).collect()
+    assert len(written) <= len(groups.forest.rounds) + 1
+
+    last, group, want = {}, {}, {}
+    for line, (a, b) in enumerate(pairs):
+        mine, other = group.setdefault(a, {a}), group.setdefault(b, {b})
+        for side in {id(mine): mine, id(other): other}.values():
+            if id(side) in last:
+                want[last[id(side)]] = line
+        both = mine | other
+        last[id(both)] = line
+        group.update(dict.fromkeys(both, both))
+        group.setdefault("kept", []).append(both)  # so that no id is used twice
+    line_of = {r.seq: r.line for r in steps}
+    assert len(steps) == len(pairs) and {r.line: line_of[r.parent] for r in steps if r.parent is not None} == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemesh.functions import strip_query
@@ -12,56 +12,35 @@ from tracemesh.operators.people import LINK_ORDER, Groups, merge_events
 from tracemesh.session import materialise
 
 
-def _chain(rows: DataFrame) -> DataFrame:
-    """Link the steps of each chain in order: ``(seq, parent)``; the last one leads to ``top``,
-    and the step a chain stands on, if any, leads to the first one."""
-    linked = materialise(previous_value(rows, "chain", "seq", F.col("seq"), "_prev"), "chain")
-    on_step = linked.filter("_prev is null and base is not null").select(F.col("base").alias("seq"), F.col("seq").alias("parent"))
-    inner = linked.filter("_prev is not null").select(F.col("_prev").alias("seq"), F.col("seq").alias("parent"))
-    last = linked.groupBy("chain").agg(F.max("seq").alias("seq"), F.max("top").alias("parent")).select("seq", "parent")
-    return inner.unionByName(last).unionByName(on_step)
-
-
 def formation_steps(groups: Groups) -> DataFrame:
     """Every change of a group with ``seq``, the number of its link, and ``parent``, the next change of the same group.
 
     The steps of one group form a tree that can be as deep as the group is large, so it is
-    not replayed.  The contraction rounds of the spanning forest give it from the top:
-    links of the last round follow one another directly; links of an earlier round lie on
-    the path above the component they were contracted into, at the place their number says.
+    not replayed.  A component of a contraction round is left by its first link to the outside, so what happens inside it
+    before that link comes later than the links of its parts is one chain of steps, and that link follows the last of them.  A step
+    belongs to the first component on its way up that is left after it, so it rises once a round and is never searched for.
     """
     steps = merge_events(groups)
-    at = steps.filter("level is not null").select("seq", "level", F.col("a").alias("c"))
     # First link leaving each component, by number.
     rounds = [r.select("c", "parent", F.col("pick").alias("leave")) for r in groups.forest.rounds]
-    by_level = []
+    base = len(rounds) + 1
+
+    def chained(df: DataFrame, number: int, top: Column) -> DataFrame:
+        return df.select("seq", (F.col("c") * base + number).alias("chain"), top.alias("top"))
+
+    rising, placed = steps.filter("level is not null").select("seq", "level", F.col("a").alias("c")), []
     for number, r in enumerate(rounds):
-        moved = at.join(r.select("c", F.col("parent").alias("_c")), "c").select("seq", "level", F.col("_c").alias("c"))
-        by_level.append(moved.filter(F.col("level") == number).select("seq", "c"))
-        at = materialise(moved.filter(F.col("level") > number), "rise")
-
-    parents: DataFrame | None = None
-    for number in reversed(range(len(rounds))):
-        here = by_level[number]
-        if parents is None:
-            placed = here.select("seq", (F.col("c") * 2).alias("chain"))
-            placed = placed.withColumn("base", F.lit(None).cast("bigint")).withColumn("top", F.lit(None).cast("bigint"))
-            parents = materialise(_chain(placed), "parents")
-            continue
-        starts = here.join(rounds[number + 1].select("c", "leave"), "c", "left")
-        found = highest_ancestor(parents, starts.withColumn("at", F.col("leave")).withColumn("below", F.col("seq")))
-        found = found.join(parents.toDF("ancestor", "_above"), "ancestor", "left")
-        on_leaf = F.col("ancestor").isNull()
-        placed = found.select(
-            "seq",
-            F.when(on_leaf, F.col("c") * 2).otherwise(F.col("ancestor") * 2 + 1).alias("chain"),
-            F.col("ancestor").alias("base"),
-            F.when(on_leaf, F.col("leave")).otherwise(F.col("_above")).alias("top"),
-        )
-        added = materialise(_chain(materialise(placed, "placed")), "added")
-        parents = materialise(parents.join(added.select("seq"), "seq", "left_anti").unionByName(added), "parents")
-    if parents is None:
-        parents = steps.select("seq", F.lit(None).cast("bigint").alias("parent")).limit(0)
+        # A component that is not in the round has no link to the outside: its group is whole.
+        stays = F.coalesce((F.col("level") < number) & (F.col("seq") < F.col("leave")), F.col("parent").isNull())
+        risen = materialise(rising.join(r, "c", "left").withColumn("stays", stays), "rise")
+        placed.append(chained(risen.filter("stays"), number, F.col("leave")))
+        rising = risen.filter("not stays").select("seq", "level", F.col("parent").alias("c"))
+    chains = chained(rising, len(rounds), F.lit(None).cast("bigint"))
+    for part in placed:
+        chains = chains.unionByName(part)
+    # Counted back, the row before is the next one.
+    chains = materialise(chains.withColumn("back", -F.col("seq")), "chains")
+    parents = previous_value(chains, "chain", "back", F.col("seq"), "next").select("seq", F.coalesce("next", "top").alias("parent"))
     if rounds:
         # A self link comes before every other link of its node.
         selfs = steps.filter("level is null").select("seq", F.col("a").alias("c")).join(rounds[0].select("c", "leave"), "c", "left")
